@@ -9,16 +9,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridmill.llm.substring_dedup import repeated_spans
+
+    return repeated_spans(_table(spark, sf_dir, "documents"))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridmill.llm.lm_scoring import score_documents
 
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_lm_scoring": op3_lm_scoring}
+QUERIES = {f.__name__: f for f in (op3_lm_scoring, op6_substring_dedup)}
 
 
 def sql() -> dict[str, str]:
-    from gridmill.llm import lm_scoring
+    from gridmill.llm import lm_scoring, substring_dedup
 
-    return {"op3_lm_scoring": lm_scoring.SQL}
+    return {"op3_lm_scoring": lm_scoring.SQL, "op6_substring_dedup": substring_dedup.SQL}
