@@ -21,7 +21,19 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_lm_scoring, op6_substring_dedup)}
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridmill.llm.minhash_dedup import near_groups
+
+    return near_groups(_table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridmill.llm.quality import perplexities
+
+    return perplexities(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op3_lm_scoring, op6_substring_dedup, op7_minhash_dedup, op10_quality)}
 
 
 def sql() -> dict[str, str]:
