@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"  #: the rank file that op5 reads, on every worker
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -15,6 +18,30 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_spans(_table(spark, sf_dir, "documents"))
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridmill.llm.decontamination import matches
+
+    return matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridmill.llm.line_dedup import trimmed
+
+    return trimmed(_table(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridmill.llm.token_counts import count_tokens
+
+    return count_tokens(_table(spark, sf_dir, "documents"), VOCABULARY)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridmill.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "slot", "n_tokens")
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridmill.llm.lm_scoring import score_documents
 
@@ -33,10 +60,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexities(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_lm_scoring, op6_substring_dedup, op7_minhash_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_lm_scoring, op4_line_dedup, op5_token_counts, op6_substring_dedup, op7_minhash_dedup, op9_mixing, op10_quality)}
 
 
 def sql() -> dict[str, str]:
-    from gridmill.llm import lm_scoring, substring_dedup
+    from gridmill.llm import lm_scoring, mixing, substring_dedup
 
-    return {"op3_lm_scoring": lm_scoring.SQL, "op6_substring_dedup": substring_dedup.SQL}
+    return {"op3_lm_scoring": lm_scoring.SQL, "op6_substring_dedup": substring_dedup.SQL, "op9_mixing": mixing.SQL}
