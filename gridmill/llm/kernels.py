@@ -81,18 +81,26 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, step: int = 1 << 20) -> np.ndarray:
     """A 64-bit hash of the bytes of each span; spans are in order and don't overlap."""
-    out = np.empty(len(s), U64)
+    return prefix_hashes(data, s, e, (), step)[0]
+
+
+def prefix_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, sizes: tuple[int, ...], step: int = 1 << 20) -> list[np.ndarray]:
+    """Hashes of the spans, and of the first so many bytes of each, as they would hash as spans."""
+    out = [np.empty(len(s), U64) for _ in range(1 + len(sizes))]
     i = 0
     while i < len(s):
         base = int(s[i])
         j = max(i + 1, int(np.searchsorted(e, base + step, "right")))
         stop = int(e[j - 1])
-        up, down = _BYTES_P.get(stop - base)
+        up, down = _BYTES_P.get(stop - base + 1)
         sums = np.zeros(stop - base + 1, U64)
-        np.cumsum(_BYTE[data[base:stop]] * up, out=sums[1:])
-        out[i:j] = (sums[e[i:j] - base] - sums[s[i:j] - base]) * down[s[i:j] - base]
+        np.cumsum(_BYTE[data[base:stop]] * up[:-1], out=sums[1:])
+        lo, hi = s[i:j] - base, e[i:j] - base
+        low, scale = sums[lo], down[lo]
+        for k, size in enumerate((None, *sizes)):
+            out[k][i:j] = (sums[hi if size is None else np.minimum(hi, lo + size)] - low) * scale
         i = j
-    return mix(out)
+    return [mix(x) for x in out]
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:

@@ -36,6 +36,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), VOCABULARY)
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxic documents with their scores."""
+    from gridmill.llm.toxicity import scores
+
+    return scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).filter("toxic").select("doc_id", "score")
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridmill.llm.mixing import mix
 
@@ -55,12 +62,13 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps, with their perplexities."""
     from gridmill.llm.quality import perplexities
 
-    return perplexities(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return perplexities(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).filter("keep").select("doc_id", "perplexity", "threshold")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_lm_scoring, op4_line_dedup, op5_token_counts, op6_substring_dedup, op7_minhash_dedup, op9_mixing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op3_lm_scoring, op4_line_dedup, op5_token_counts, op6_substring_dedup, op7_minhash_dedup, op8_toxicity, op9_mixing, op10_quality)}
 
 
 def sql() -> dict[str, str]:
