@@ -49,6 +49,12 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "slot", "n_tokens")
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridmill.llm.exact_topk import nearest
+
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridmill.llm.lm_scoring import score_documents
 
@@ -68,10 +74,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return perplexities(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).filter("keep").select("doc_id", "perplexity", "threshold")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op3_lm_scoring, op4_line_dedup, op5_token_counts, op6_substring_dedup, op7_minhash_dedup, op8_toxicity, op9_mixing, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontamination, op2_exact_topk, op3_lm_scoring, op4_line_dedup, op5_token_counts, op6_substring_dedup, op7_minhash_dedup, op8_toxicity, op9_mixing, op10_quality)}
 
 
 def sql() -> dict[str, str]:
-    from gridmill.llm import lm_scoring, mixing, substring_dedup
+    from gridmill.llm import exact_topk, lm_scoring, mixing, substring_dedup
 
-    return {"op3_lm_scoring": lm_scoring.SQL, "op6_substring_dedup": substring_dedup.SQL, "op9_mixing": mixing.SQL}
+    return {"op2_exact_topk": exact_topk.SQL, "op3_lm_scoring": lm_scoring.SQL, "op6_substring_dedup": substring_dedup.SQL, "op9_mixing": mixing.SQL}
