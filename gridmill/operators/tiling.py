@@ -74,7 +74,7 @@ def rids_by_tile(points: DataFrame) -> DataFrame:
 
 def weights_by_tile(tiles: DataFrame, metadata: DataFrame) -> DataFrame:
     """Sum and mean of the weights of the datasets in each tile's list; 0 where none is known."""
-    one = tiles.select("tile_id", F.explode_outer(F.split("cruises", ";")).alias("rid")).withColumn("rid", F.col("rid").cast("long"))
+    one = tiles.select("tile_id", F.explode_outer(F.split("cruises", ";")).alias("rid")).withColumn("rid", F.col("rid").try_cast("long"))
     w = metadata.select(F.col("dataset_rid").alias("rid"), "weight")
     got = one.join(w, "rid", "left").groupBy("tile_id").agg(F.sum("weight").alias("s"), F.avg("weight").alias("a"))
     return got.select("tile_id", F.coalesce("s", F.lit(0)).cast("long").alias("sum_weight"), F.round(F.coalesce("a", F.lit(0.0)), 6).alias("avg_weight"))
