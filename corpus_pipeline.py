@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill.llm import decontamination, line_dedup, minhash_dedup, mixing, quality
-from gridmill.llm.kernels import settle
+from gridmill.llm.kernels import own, settle
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
     groups = settle(minhash_dedup.near_groups(docs))
-    return docs.join(groups.filter(F.col("doc_id") != F.col("keep")).select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(groups.filter(F.col("doc_id") != F.col("keep")).select("doc_id"), "doc_id", "left_anti").select(*own(docs))
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridmill.llm import kernels as K
+
 LIMIT_CHARS = 16 << 20
 
 
@@ -162,8 +164,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05,
             m = Matcher(held.value, rate)
             for batch in batches:
                 keep = np.array([not m.match(t.as_py()) for t in batch.column(len(names))], bool)
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:-1]], names)
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:-1]], [f"c{i}" for i in range(len(names))])
 
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        docs = docs.withColumn("_normal", normal(F.col(text_col))).mapInArrow(clean, schema)
+        plain, schema = K.numbered(docs)
+        docs = plain.withColumn("normal", normal(F.col(f"c{names.index(text_col)}"))).mapInArrow(clean, schema).toDF(*names)
     return docs

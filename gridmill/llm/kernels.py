@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -193,6 +194,25 @@ def slices(batches, text: str = "text", block_bytes: int = 8 << 20):
             i = j
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or a longer one if the table has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def own(df: DataFrame, *but: str) -> list:
+    """The table's columns, but those named, whatever signs their names hold."""
+    return [F.col(f"`{c}`") for c in df.columns if c not in but]
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """The table with its columns named by their place, and their schema: any name then survives a pass through Python."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name in the shared folder that the cluster names; a local one only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

@@ -133,17 +133,17 @@ def deletions(docs: DataFrame, min_chars: int = 20, rare: int = 8, id_col: str =
     return found.groupBy(F.col("b").alias("doc")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
-def dedup(docs: DataFrame, min_chars: int = 20, rare: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the deleted lines; columns that count the text (``n_chars``) follow it."""
-    gone = K.settle(deletions(docs, min_chars, rare, id_col, text_col)).select(F.col("doc.id").alias("_id"), F.col("doc.t").alias("_t"), F.col("gone").alias("_gone"))
-    on = (docs[id_col] == gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_t"])
-    text = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = docs.join(gone, on, "left").withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(text))
-    out = out.filter(F.col("_gone").isNull() | (F.trim(F.regexp_replace(text_col, r"\s+", " ")) != ""))
-    if "n_chars" in docs.columns and text_col == "text":
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(kind)))
-    return out.select(*docs.columns)
+def dedup(docs: DataFrame, min_chars: int = 20, rare: int = 8, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+    """``docs`` without the deleted lines; ``count_col`` follows the length of the text."""
+    i, t, g = (K.fresh(docs, c) for c in ("_id", "_t", "_gone"))
+    gone = K.settle(deletions(docs, min_chars, rare, id_col, text_col)).select(F.col("doc.id").alias(i), F.col("doc.t").alias(t), F.col("gone").alias(g))
+    text = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, at: ~F.array_contains(g, at)), "\n")
+    out = docs.join(gone, (F.col(id_col) == F.col(i)) & (F.xxhash64(text_col) == F.col(t)), "left").withColumn(text_col, F.when(F.col(g).isNull(), F.col(text_col)).otherwise(text))
+    out = out.filter(F.col(g).isNull() | F.col(text_col).rlike(r"\S"))
+    if count_col in docs.columns:
+        kind = docs.schema[count_col].dataType
+        out = out.withColumn(count_col, F.when(F.col(g).isNull(), F.col(count_col)).otherwise(F.length(text_col).try_cast(kind)))
+    return out.select(*K.own(docs))
 
 
 def trimmed(docs: DataFrame, min_chars: int = 20, rare: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
