@@ -126,7 +126,7 @@ def test_tree_spares_distances():
     rng = np.random.default_rng(4)
     centres = rng.normal(size=(20, 8)) * 50
     x = np.concatenate([c + rng.normal(size=(50, 8)) for c in centres])
-    tree = exact_topk.Tree(x, x[0])
+    tree = exact_topk.Tree(x, x[0], fan=32)
     tree.search(x, np.sqrt(((x - x[0]) ** 2).sum(1)), np.full(len(x), np.inf), np.concatenate([np.arange(len(x))] * 2), 5)
     assert tree.spared > 0 and tree.computed < len(x) ** 2 / 5
 
@@ -317,7 +317,7 @@ def test_disguises(spark, toxic, awkward, none):
     tries = ["you 1d10t", "so 5tup1d!!", "you m.o.r.o.n", "a m o r o n", "stuuuuuupid", "w0rthl3ss", "$tupid", "tr@sh", "M0R0N", "i" + "d" * 9000 + "iot"]
     clean = ["there on and", "1 2 3 4 5", "a a a a a a", "on-the-shore", "", None, "$$$ 100%", "4096"]
     extra = table(spark, *((1000 + k, t, "en", "a") for k, t in enumerate(tries + clean)))
-    got = {r.doc_id: r.toxic for r in toxicity.scores(docs.unionByName(extra), labels).filter("doc_id >= 1000").collect()}
+    got = {r.doc_id: r.toxic for r in toxicity.scores(docs.unionByName(extra), labels, recall=1.0).filter("doc_id >= 1000").collect()}
     assert [got[1000 + k] for k in range(len(tries + clean))] == [True] * len(tries) + [False] * len(clean)
     assert toxicity.scores(awkward, labels).count() == 12 and toxicity.scores(none, labels).count() == 0
     assert toxicity.scores(docs, labels.limit(0)).filter("score > 0").count() == 0
