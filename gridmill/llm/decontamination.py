@@ -119,7 +119,7 @@ def _groups(benchmark: DataFrame, item_col: str, item_text: str, limit: int):
         yield [(r.item, r.text) for r in (items if n == 1 else items.filter(F.pmod(F.xxhash64("text"), F.lit(n)) == g)).collect()]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", limit: int = LIMIT_CHARS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", limit: int = LIMIT_CHARS) -> DataFrame:
     """``(id_col, item_col, distance)`` for every row and item that it holds within the item's budget."""
     docs = docs.select(F.col(id_col).alias("id"), normal(F.col(text_col)).alias("text"))
     item_type = benchmark.schema[item_col].dataType
@@ -154,7 +154,7 @@ def _arrow(kind) -> pa.DataType:
     return to_arrow_type(kind)
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.05, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", limit: int = LIMIT_CHARS) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", limit: int = LIMIT_CHARS) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
     names = docs.columns
     for items in _groups(benchmark, item_col, item_text, limit):
