@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,12 +15,18 @@ POINTS = "x BIGINT, y BIGINT, z BIGINT, weight INT, rid BIGINT"
 METADATA = "dataset_rid BIGINT, dataset_name STRING, dataset_tid INT, contrib_org STRING, weight INT, include INT"
 
 
+@lru_cache(1)
+def _local_dir() -> str:
+    """A folder for sessions without a shared one, as in tests; it goes when the process ends."""
+    path = tempfile.mkdtemp(prefix="gridmill-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def scratch(spark: SparkSession) -> str:
     """A new path in the shared folder the cluster names, or a local one where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "gridmill-shared")
-        os.makedirs(base, exist_ok=True)
+    base = base or _local_dir()
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
