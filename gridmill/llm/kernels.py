@@ -6,9 +6,11 @@ so no Python object is made per word. A word is a maximal run of bytes that are
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -213,12 +215,18 @@ def numbered(df: DataFrame) -> tuple[DataFrame, str]:
     return plain, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
 
 
+@lru_cache(1)
+def _local_dir() -> str:
+    """A folder for sessions without a shared one, as in tests; it goes when the process ends."""
+    path = tempfile.mkdtemp(prefix="gridmill-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name in the shared folder that the cluster names; a local one only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "gridmill-shared")
-        os.makedirs(base, exist_ok=True)
+    base = base or _local_dir()
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
