@@ -32,30 +32,35 @@ _SLACK = 1e-9
 class Tree:
     """Two levels of metric nodes over the rows of a page, all around the page's router."""
 
-    def __init__(self, vectors: np.ndarray, router: np.ndarray, fan: int = 32):
+    def __init__(self, vectors: np.ndarray, router: np.ndarray, fan: int = 256):
         n = len(vectors)
         m = max(1, min(n, int(np.ceil(n / fan))))
         self.routers = vectors[np.linspace(0, n - 1, m).astype(int)]
         near = np.argmin(((vectors**2).sum(1)[:, None] - 2 * vectors @ self.routers.T) + (self.routers**2).sum(1), 1)
         self.parent = np.sqrt(((self.routers - router) ** 2).sum(1))  # of inner entries, to the page's router
         self.members = [np.flatnonzero(near == c) for c in range(m)]
-        self.leaf = [np.sqrt(((vectors[x] - self.routers[c]) ** 2).sum(1)) for c, x in enumerate(self.members)]
+        self.rows = [vectors[x] for x in self.members]
+        self.norms = [(x**2).sum(1) for x in self.rows]
+        self.leaf = [np.sqrt(((x - self.routers[c]) ** 2).sum(1)) for c, x in enumerate(self.rows)]
         self.radius = np.array([x.max() if len(x) else -np.inf for x in self.leaf])
-        self.vectors = vectors
+        self.n = n
         self.computed = self.spared = 0
 
-    def search(self, queries: np.ndarray, to_router: np.ndarray, bound: np.ndarray, skip: np.ndarray, k: int):
-        """For each query the row numbers and distances of its k nearest within its bound; skip[q] matches rank keys to leave out."""
+    def search(self, queries: np.ndarray, to_router: np.ndarray, bound: np.ndarray, rank: np.ndarray, k: int):
+        """For each query the row numbers and distances of its k nearest within its bound.
+
+        ``rank`` orders the ids of the rows and, after them, of the queries; a row of a query's own id is left out.
+        """
         q, m = len(queries), len(self.routers)
         rows = np.full((q, k), -1)
         dist = np.full((q, k), np.inf)
         kth = bound.astype(float).copy()
+        square = (queries**2).sum(1)
         lower = np.full((q, m), np.inf)
         at_router = np.full((q, m), np.inf)
         for c in range(m):
-            open_ = np.abs(to_router - self.parent[c]) - self.radius[c] <= kth + _SLACK
-            self.spared += q - int(open_.sum())
-            i = np.flatnonzero(open_)
+            i = np.flatnonzero(np.abs(to_router - self.parent[c]) - self.radius[c] <= kth + _SLACK)
+            self.spared += q - len(i)
             if len(i) and len(self.members[c]):
                 d = np.sqrt(((queries[i] - self.routers[c]) ** 2).sum(1))
                 self.computed += len(i)
@@ -70,29 +75,46 @@ class Tree:
             for c in np.unique(node[live]):
                 i = live[node[live] == c]
                 lower[i, c] = np.inf
-                own = self.members[c]
-                may = np.abs(at_router[i, c][:, None] - self.leaf[c][None, :]) <= kth[i][:, None] + _SLACK
-                self.spared += int((~may).sum())
-                a, b = np.nonzero(may)
-                if not len(a):
-                    continue
-                self.computed += len(a)
-                d = np.full(may.shape, np.inf)
-                for lo in range(0, len(a), 1 << 15):
-                    x, y = a[lo : lo + (1 << 15)], b[lo : lo + (1 << 15)]
-                    d[x, y] = np.sqrt(((queries[i[x]] - self.vectors[own[y]]) ** 2).sum(1))
-                d[skip[own][None, :] == skip[len(self.vectors) + i][:, None]] = np.inf
-                d[d > bound[i][:, None] + _SLACK] = np.inf
-                both = np.concatenate([dist[i], d], 1)
-                who = np.concatenate([rows[i], np.broadcast_to(own, d.shape)], 1)
-                keep = np.lexsort((np.where(who >= 0, skip[who], 2**62), both), 1)[:, :k]
-                dist[i] = np.take_along_axis(both, keep, 1)
-                rows[i] = np.take_along_axis(who, keep, 1)
-                kth[i] = np.minimum(kth[i], dist[i, k - 1])
+                self._visit(c, i, queries, square, at_router[i, c], bound, kth, rows, dist, rank, k)
         return rows, dist
 
-
-def nearest(vectors: DataFrame, k: int = 10, page_rows: int = 1024, max_routers: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    def _visit(self, c, i, queries, square, at, bound, kth, rows, dist, rank, k) -> None:
+        """The entries of a leaf that the stored distances don't rule out, against the queries that open it."""
+        may = np.abs(at[:, None] - self.leaf[c][None, :]) <= kth[i][:, None] + _SLACK
+        self.spared += int((~may).sum())
+        some = may.any(1)
+        i, may = i[some], may[some]
+        if not len(i):
+            return
+        self.computed += int(may.sum())
+        # a product of matrices leaves out what is surely too far; what is left is measured exactly
+        rough = square[i][:, None] + self.norms[c][None, :] - 2 * queries[i] @ self.rows[c].T
+        far = np.minimum(kth[i], 1e150)
+        may &= rough <= (far**2 * (1 + 1e-9) + 1e-9 * (1 + square[i]))[:, None]
+        a, b = np.nonzero(may)
+        own = self.members[c][b]
+        keep = rank[own] != rank[self.n + i[a]]
+        a, b, own = a[keep], b[keep], own[keep]
+        if not len(a):
+            return
+        d = np.concatenate([np.sqrt(((queries[i[a[lo : lo + 65536]]] - self.rows[c][b[lo : lo + 65536]]) ** 2).sum(1)) for lo in range(0, len(a), 65536)])
+        fits = d <= np.minimum(kth[i[a]], bound[i[a]] + _SLACK)
+        a, own, d = a[fits], own[fits], d[fits]
+        if not len(a):
+            return
+        hit = np.unique(a)
+        at = np.concatenate([a, np.repeat(hit, k)])
+        who = np.concatenate([own, rows[i[hit]].ravel()])
+        d = np.concatenate([d, dist[i[hit]].ravel()])
+        by = np.lexsort((np.where(who >= 0, rank[who], 2**62), d, at))
+        at, who, d = at[by], who[by], d[by]
+        first = np.searchsorted(at, hit)
+        take = first[:, None] + np.arange(k)  # each has its k old entries at least
+        rows[i[hit]], dist[i[hit]] = who[take], d[take]
+        kth[i[hit]] = np.minimum(kth[i[hit]], dist[i[hit], k - 1])
+
+
+def nearest(vectors: DataFrame, k: int = 10, page_rows: int = 8192, max_routers: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(id_col, rank, neighbor, distance)``: the k nearest others of every row, rank from 1."""
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
@@ -176,8 +198,8 @@ def nearest(vectors: DataFrame, k: int = 10, page_rows: int = 1024, max_routers:
         x, ids = matrix(data["v"]), data["id"].combine_chunks()
         tree = Tree(x, held.value[data["page"][0].as_py()])
         out = [empty]
-        for lo in range(0, queries.num_rows, 2048):
-            part = queries.slice(lo, 2048)
+        for lo in range(0, queries.num_rows, 8192):
+            part = queries.slice(lo, 8192)
             who = part["id"].combine_chunks()
             at, dist = tree.search(matrix(part["v"]), part["pd"].to_numpy(), part["bound"].to_numpy(), ranks(ids, who), k)
             out.append(found(who, ids, at, dist))
