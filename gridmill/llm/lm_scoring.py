@@ -70,6 +70,12 @@ def unpayload(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(raw, np.uint8)[8 + n :], np.concatenate([[0], np.cumsum(K.unpack(raw[8 : 8 + n]))]).astype(np.int64)
 
 
+def _keys(h: np.ndarray, woff: np.ndarray, n: int) -> np.ndarray:
+    """The n-gram at each place, by the upper 56 bits of its hash (two of 10**10 n-grams meet with a chance of one in 10**7)."""
+    g = K.grams(h, n)
+    return g[K.inside(woff, n)] & K.U64(2**64 - 256) if len(g) else g
+
+
 def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, n_tokens, score)`` for every row: the mean log10 stupid-backoff score of its words."""
     spark = docs.sparkSession
@@ -84,13 +90,13 @@ def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col:
             s, e, woff = K.words(data, off)
             h = K.span_hashes(data, s, e)
             for n in range(1, order + 1):
-                g, c = np.unique(K.grams(h, n)[K.inside(woff, n)] if len(h) >= n else h[:0], return_counts=True)
+                g, c = np.unique(_keys(h, woff, n), return_counts=True)
                 cut = K.shard_bounds(g, shards)
                 own = np.flatnonzero(np.diff(cut))
                 yield pa.record_batch(
                     [
                         pa.array(own, pa.int32()), pa.array(np.full(len(own), key), pa.int64()), pa.array(np.full(len(own), n), pa.int32()),
-                        pa.array([K.pack_sorted(g[cut[k] : cut[k + 1]]) for k in own], pa.binary()), pa.array([K.pack(c[cut[k] : cut[k + 1]].astype(K.U64)) for k in own], pa.binary()),
+                        pa.array([K.pack_sorted(g[cut[k] : cut[k + 1]] >> K.U64(8)) for k in own], pa.binary()), pa.array([K.pack(c[cut[k] : cut[k + 1]].astype(K.U64)) for k in own], pa.binary()),
                     ],
                     ["shard", "block", "ord", "grams", "counts"],
                 )
@@ -131,7 +137,7 @@ def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col:
             mine = mine[np.unique(at[mine], return_index=True)[1]]  # equal blocks get equal answers
             totals = [K.unpack(table["grams"][int(i)].as_py()) for i in mine]
             totals = np.concatenate(totals) if totals else np.zeros(0, K.U64)
-            g, inv = np.unique(K.grams(h, n)[start] if size >= n else h[:0], return_inverse=True)
+            g, inv = np.unique(_keys(h, woff, n), return_inverse=True)
             if len(g) != len(totals):
                 raise RuntimeError("the two readings of the documents differ; give score_documents a table or files")
             _, inv2, own = np.unique(inv * np.int64(len(off)) + rows[start], return_inverse=True, return_counts=True)
@@ -154,10 +160,10 @@ def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col:
         tried = np.minimum(place + 1, order)
         log += (tried - level) * np.log10(alpha)
         counts = np.diff(woff)
-        sums = np.bincount(rows, log, minlength=len(counts))
-        low = np.bincount(rows, (level <= 1).astype(float), minlength=len(counts))
+        sums = np.bincount(rows, log, minlength=len(counts)).astype(float)
+        low = np.bincount(rows, (level <= 1).astype(float), minlength=len(counts)).astype(float)
         ids = [read_ids(table["ids"][int(i)].as_py()) for i in home]
-        return pa.concat_tables(pa.table({"id": x, "n": pa.array(counts, pa.int64()), "sums": pa.array(sums), "low": pa.array(low)}) for x in ids)
+        return pa.concat_tables(pa.table({"id": x, "n": pa.array(counts, pa.int64()), "sums": pa.array(sums, pa.float64()), "low": pa.array(low, pa.float64())}) for x in ids)
 
     asked = docs.mapInArrow(ask, _ASK)
     replies = asked.groupBy("shard").applyInArrow(total, _REPLY)
