@@ -6,12 +6,12 @@ exponent is found by bisection: the smallest that repeats no source more than ``
 Each source then has a budget of ``floor(weight * budget)`` tokens. Whole copies of a source go as often as the
 budget holds them; of the last copy goes a part: the source's blocks (of about ``block_tokens``, drawn by a hash of
 the id) in the order of a hash-keyed permutation of that copy, while they fit, and of the block that no longer fits
-its documents in hash order while they fit. Only sums by block are gathered; documents meet the plan in a join on
-the block, and only those of the one cut block of a source are sorted.
+its documents in hash order while they fit. Texts are read twice and never shuffled: once for counts, of which sums
+by block make the plan, and once to draw; only the ids of a source's one cut block are sorted.
 
 Defined results: rows without a word are left out; null and empty source names are one source, ''; equal rows are
-drawn as rows of their own; null ids are drawn like any other; a source whose budget is 0 gives no row; an empty
-table gives no rows; other columns are carried by ``mix`` and may have any names that don't begin with ``_mix_``.
+drawn together; null ids are drawn like any other; a source whose budget is 0 gives no row; an empty
+table gives no rows; other columns are carried by ``mix``, but for those that have the names of its results, which the results replace, or ``_mix_...``.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridmill.llm import kernels as K
+
 STEPS = 50
 
 
@@ -46,17 +48,16 @@ def mix(
 ) -> DataFrame:
     """Every drawn row with its columns, ``copy`` (1 for the first), ``slot`` (the place of its block in that copy's permutation) and ``n_tokens``."""
     spark = docs.sparkSession
-    words = F.regexp_replace(F.col(text_col), r"^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$", "")
-    tokens = F.coalesce(F.when(words == "", 0).otherwise(F.size(F.split(words, r"[ \t\n\r\f\x0B]+"))), F.lit(0)).cast("long")
-    tokens = F.when(F.col(text_col).isNull(), F.lit(0).cast("long")).otherwise(tokens)
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    names = docs.columns
-    own = docs.withColumn("_mix_src", F.coalesce(F.col(source_col), F.lit(""))).withColumn("_mix_n", tokens).withColumn("_mix_h", F.conv(F.substring(key, 1, 8), 16, 10).cast("long"))
-    own = own.filter("_mix_n > 0")
-    # a fixed number of fine parts by source, so that one pass gives the sums of sources and of blocks
-    totals = own.groupBy("_mix_src").agg(F.sum("_mix_n").alias("t")).orderBy("_mix_src").collect()  # a row for each source
+    docs = docs.select(*(c for c, name in zip(K.own(docs), docs.columns) if name.lower() not in ("copy", "slot", "n_tokens") and not name.lower().startswith("_mix_")))
+    names = K.own(docs)
+    tokens = F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[ \t\n\r\f\x0B]+"), "")).cast("long")
+    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    own = docs.withColumns({"_mix_src": F.coalesce(F.col(source_col), F.lit("")), "_mix_n": tokens, "_mix_id": ident})
+    # one pass over the texts; what follows reads only sources, ids and counts
+    thin = K.settle(own.select("_mix_src", "_mix_n", "_mix_id").filter("_mix_n > 0"))
+    totals = thin.groupBy("_mix_src").agg(F.sum("_mix_n").alias("t")).orderBy("_mix_src").collect()  # a row for each source
     if not totals:
-        return own.select(*names, F.lit(0).alias("copy"), F.lit(0).alias("slot"), F.col("_mix_n").alias("n_tokens"))
+        return own.filter("_mix_n > 0").select(*names, F.lit(0).alias("copy"), F.lit(0).alias("slot"), F.col("_mix_n").alias("n_tokens"))
     t = np.array([r.t for r in totals], float)
     shares = t / t.sum()
     a = exponent(shares, scale, max_repeats, entropy)
@@ -64,8 +65,13 @@ def mix(
     budget = np.floor(w / w.sum() * (t.sum() * scale)).astype(int)
     plan = [(r._mix_src, int(r.t), int(b), int(-(-r.t // block_tokens))) for r, b in zip(totals, budget)]
     plan = F.broadcast(spark.createDataFrame(plan, "_mix_src string, _mix_t long, _mix_b long, _mix_k long"))
-    blocked = own.join(plan, "_mix_src").withColumn("_mix_block", F.col("_mix_h") % F.col("_mix_k"))
-    sums = blocked.groupBy("_mix_src", "_mix_block", "_mix_t", "_mix_b").agg(F.sum("_mix_n").alias("bt"))
+    block = F.conv(F.substring(F.md5("_mix_id"), 1, 8), 16, 10).cast("long") % F.col("_mix_k")
+    place = F.md5(F.concat_ws("|", F.col("_mix_id"), F.col("copy").cast("string")))
+
+    def blocked(rows: DataFrame) -> DataFrame:
+        return rows.join(plan, "_mix_src").withColumn("_mix_block", block)
+
+    sums = blocked(thin).groupBy("_mix_src", "_mix_block", "_mix_t", "_mix_b").agg(F.sum("_mix_n").alias("bt"))
     whole = F.floor(F.col("_mix_b") / F.col("_mix_t"))
     copies = sums.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), whole + 1)))
     rank = F.md5(F.concat_ws("|", "_mix_src", F.col("_mix_block").cast("string"), F.col("copy").cast("string")))
@@ -73,15 +79,14 @@ def mix(
     copies = copies.withColumn("slot", F.row_number().over(order)).withColumn("upto", F.sum("bt").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     left = F.when(F.col("copy") <= whole, F.col("_mix_t")).otherwise(F.col("_mix_b") - whole * F.col("_mix_t")) - (F.col("upto") - F.col("bt"))
     drawn = copies.withColumn("left", left).filter("left > 0").select("_mix_src", "_mix_block", F.col("copy").cast("int").alias("copy"), "slot", "left", (F.col("left") < F.col("bt")).alias("_mix_cut"))
-    rows = blocked.join(drawn, ["_mix_src", "_mix_block"])
-    place = F.md5(F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy").cast("string")))
-    inner = Window.partitionBy("_mix_src", "_mix_block", "copy").orderBy(place, "_mix_n").rowsBetween(Window.unboundedPreceding, 0)
-    cut = rows.filter("_mix_cut").withColumn("_mix_sum", F.sum("_mix_n").over(inner)).filter("_mix_sum <= left")
-    out = [F.col("copy"), F.col("slot"), F.col("_mix_n").alias("n_tokens")]
-    clash = [c for c in names if c in ("copy", "slot", "n_tokens")]
-    if clash:
-        raise ValueError(f"columns {clash} have the names of results; rename them")
-    return rows.filter("NOT _mix_cut").select(*names, *out).unionByName(cut.select(*names, *out))
+    # of a cut block, the last place in hash order that still fits; rows at one place go together
+    inner = Window.partitionBy("_mix_src", "_mix_block", "copy").orderBy("_mix_place", "_mix_n").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = blocked(thin).join(drawn.filter("_mix_cut"), ["_mix_src", "_mix_block"]).withColumn("_mix_place", place)
+    cut = cut.withColumn("_mix_sum", F.sum("_mix_n").over(inner)).filter("_mix_sum <= left").groupBy("_mix_src", "_mix_block", "copy").agg(F.max(F.struct("_mix_place", "_mix_n")).alias("_mix_last"))
+    drawn = K.settle(drawn.join(cut, ["_mix_src", "_mix_block", "copy"], "left").drop("left"))
+    rows = blocked(own.filter("_mix_n > 0")).join(drawn, ["_mix_src", "_mix_block"])
+    fits = ~F.col("_mix_cut") | F.coalesce(F.struct(place.alias("_mix_place"), F.col("_mix_n")) <= F.col("_mix_last"), F.lit(False))
+    return rows.filter(fits).select(*names, "copy", "slot", F.col("_mix_n").alias("n_tokens"))
 
 
 SQL = r"""
@@ -100,6 +105,6 @@ c AS (SELECT *, unnest(range(1, b // t + 2)) cp FROM sums),
 o AS (SELECT *, row_number() OVER v slot, sum(bt) OVER (v ROWS UNBOUNDED PRECEDING) upto FROM c WINDOW v AS (PARTITION BY src, cp ORDER BY md5(src || '|' || blk || '|' || cp), blk)),
 g AS (SELECT src, blk, cp, slot, bt, CASE WHEN cp <= b // t THEN t ELSE b - (b // t) * t END - (upto - bt) lft FROM o),
 r AS (SELECT bl.doc_id, bl.src, bl.n, g.cp, g.slot, lft, lft < bt cut,
-  sum(n) OVER (PARTITION BY g.src, g.blk, cp ORDER BY md5(doc_id || '|' || cp), n ROWS UNBOUNDED PRECEDING) upto FROM bl JOIN g ON bl.src = g.src AND bl.blk = g.blk WHERE lft > 0)
+  sum(n) OVER (PARTITION BY g.src, g.blk, cp ORDER BY md5(doc_id || '|' || cp), n RANGE UNBOUNDED PRECEDING) upto FROM bl JOIN g ON bl.src = g.src AND bl.blk = g.blk WHERE lft > 0)
 SELECT doc_id, src AS source, CAST(cp AS INTEGER) AS copy, CAST(slot AS INTEGER) AS slot, CAST(n AS BIGINT) AS n_tokens FROM r WHERE NOT cut OR upto <= lft
 """
