@@ -1,12 +1,17 @@
 """Line dedup by pairwise alignment: common blocks leave the later document.
 
 Lines of at least ``min_chars`` characters are anchors; the others only ever go along with an anchor. Documents that
-share an anchor are candidates: for a rare line (at most ``rare`` holders) every pair of its holders, and for a more
-common one each holder with the first of them, which already holds whatever the others repeat. So nothing is
-skipped, and a line of n holders gives n - 1 pairs instead of n * (n - 1) / 2. The documents of a pair are aligned
-by patience diff on line hashes: lines that occur once in each are put in order by their longest increasing
-subsequence, equal neighbours join them, and the gaps are treated alike. A block of consecutive aligned lines with
-an anchor in it is deleted from the later document; the earliest holder keeps it.
+share an anchor are candidates. The result is that of aligning every pair of them, by these steps:
+
+1. For a rare line (at most ``rare`` holders) every pair of its holders, and for a more common one each holder with the
+   first of them.
+2. Where a common line, or a short line beside it, is still in place, the document goes on to the next holders until
+   the line goes or no holder is left. A pair without a rare line in common only sees the other's pattern (its common
+   and short lines, with a mark for what lies between), so one holder of each pattern stands for all.
+
+The documents of a pair are aligned by patience diff on line hashes: lines that occur once in each are put in order
+by their longest increasing subsequence, equal neighbours join them, and the gaps are treated alike. A block of
+consecutive aligned lines with an anchor in it is deleted from the later document; the earliest holder keeps it.
 
 Later is the larger id. Defined results: rows with a null id or text are left alone, blank lines never match;
 rows of one id and text are one document (each is treated alike) and rows of one id but other texts are told apart
@@ -18,9 +23,10 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.llm import kernels as K
@@ -112,12 +118,21 @@ def deletions(docs: DataFrame, min_chars: int = 20, rare: int = 8, id_col: str =
     common = shared.filter((F.col("n") > rare) & (F.col("doc") != F.col("first"))).select(F.col("first").alias("a"), F.col("doc").alias("b"))
     few = shared.filter(F.col("n") <= rare).select("h", "doc")
     close = few.select("h", F.col("doc").alias("a")).join(few.select("h", F.col("doc").alias("b")), "h").filter("a < b").select("a", "b")
+    close = K.settle(close.distinct())
     pairs = common.unionByName(close).distinct()
-    whole = lines.join(shared.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"])
+    whole = K.settle(lines.join(shared.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]))
+    kind = f"struct<id: {docs.schema[id_col].dataType.simpleString()}, t: bigint>"
+    found = K.settle(_aligned(pairs, whole, kind))
+    frequent = shared.filter(F.col("n") > rare)
+    if frequent.take(1):
+        found = _rest(found, frequent, close, whole, kind)
+    return found.groupBy(F.col("b").alias("doc")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+
+
+def _aligned(pairs: DataFrame, whole: DataFrame, kind: str) -> DataFrame:
+    """``(b, gone)``: what the later document of each pair loses to the other."""
     left = whole.select(F.col("doc").alias("a"), F.col("hashes").alias("ha"))
     right = whole.select(F.col("doc").alias("b"), F.col("hashes").alias("hb"), F.col("anchor").alias("kb"))
-    aligned = pairs.join(left, "a").join(right, "b")
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def align(batches):
         for batch in batches:
@@ -129,8 +144,80 @@ def deletions(docs: DataFrame, min_chars: int = 20, rare: int = 8, id_col: str =
                     gone.append(lost)
             yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(gone, pa.list_(pa.int32()))], ["b", "gone"])
 
-    found = aligned.select("b", "ha", "hb", "kb").mapInArrow(align, f"b struct<id: {kind}, t: bigint>, gone array<int>")
-    return found.groupBy(F.col("b").alias("doc")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    return pairs.join(left, "a").join(right, "b").select("b", "ha", "hb", "kb").mapInArrow(align, f"b {kind}, gone array<int>")
+
+
+def units(hashes: list, anchor: list, common: set) -> tuple[int, dict[int, list[int]]]:
+    """A document's pattern, and the places of each unit: a common line, or a short one with those up to a common line."""
+    short = [h is not None and not k for h, k in zip(hashes, anchor)]
+    kept = [h if h is not None and (s or h in common) else None for h, s in zip(hashes, short)]
+    pattern = [x for i, x in enumerate(kept) if x is not None or not i or kept[i - 1] is not None]
+    out: dict[int, list[int]] = {}
+    for p, h in enumerate(kept):
+        if h is None:
+            continue
+        if not short[p]:
+            out.setdefault(h, []).append(p)
+            continue
+        for step in (-1, 1):
+            q = p
+            while 0 <= q < len(kept) and short[q]:
+                q += step
+            if 0 <= q < len(kept) and kept[q] is not None:
+                gram = [step, *kept[p : q + step if q + step >= 0 else None : step]]
+                out.setdefault(_key(gram), []).append(p)
+    return _key(pattern), out
+
+
+def _key(parts: list) -> int:
+    return int.from_bytes(blake2b(repr(parts).encode(), digest_size=8).digest(), "big", signed=True)
+
+
+def _rest(found: DataFrame, frequent: DataFrame, close: DataFrame, whole: DataFrame, kind: str) -> DataFrame:
+    """``found`` with what documents lose to later holders of common lines than the first."""
+
+    def split(batches):
+        for batch in batches:
+            at, us, pats, places = [], [], [], []
+            for i, (hashes, anchor, common) in enumerate(zip(*(batch.column(k).to_pylist() for k in (1, 2, 3)))):
+                pattern, of = units(hashes, anchor, set(common))
+                at += [i] * len(of)
+                pats += [pattern] * len(of)
+                us += of
+                places += of.values()
+            yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int64())), pa.array(us, pa.int64()), pa.array(pats, pa.int64()), pa.array(places, pa.list_(pa.int32()))], ["doc", "u", "pattern", "places"])
+
+    common = frequent.groupBy("doc").agg(F.collect_list("h").alias("common"))
+    whole = K.settle(whole.join(common, "doc"))
+    held = K.settle(whole.select("doc", "hashes", "anchor", "common").mapInArrow(split, f"doc {kind}, u long, pattern long, places array<int>"))
+    members = held.select("pattern", "doc").distinct().withColumn("r", F.row_number().over(Window.partitionBy("pattern").orderBy("doc")))
+    partners = close.groupBy(F.col("b").alias("doc")).agg(F.count("*").alias("k"))
+
+    def left_in_place(rows: DataFrame, found: DataFrame) -> DataFrame:
+        lost = found.groupBy(F.col("b").alias("doc")).agg(F.flatten(F.collect_list("gone")).alias("gone"))
+        return rows.join(lost, "doc", "left").filter(F.col("gone").isNull() | (F.size(F.array_except("places", "gone")) > 0)).drop("gone")
+
+    # patterns of a unit in the order of their first documents; a unit's first document has nothing before it
+    ranked = held.groupBy("u", "pattern").agg(F.min("doc").alias("a")).withColumn("r", F.row_number().over(Window.partitionBy("u").orderBy("a")))
+    ranked = K.settle(ranked)
+    starts = ranked.filter("r = 1").select("u", F.col("a").alias("start"))
+    todo = K.settle(left_in_place(held.select("doc", "u", "places").join(starts, "u").filter("doc > start").drop("start"), found))
+    last = ranked.agg(F.max("r")).first()[0] or 0
+    low, high = 1, 8
+    while low <= last and todo.take(1):
+        at = todo.select("doc", "u").join(ranked.filter(F.col("r").between(low, high)).select("u", "pattern", "a"), "u").filter("a < doc").select("pattern", "a", F.col("doc").alias("b")).distinct()
+        # a pair that shares a rare line is done; another document of its pattern stands for the rest of it
+        tried = at.join(close.withColumn("done", F.lit(True)), ["a", "b"], "left")
+        tried = K.settle(tried)
+        again = tried.filter("done").join(partners, F.col("b") == F.col("doc")).select("pattern", "b", F.explode(F.sequence(F.lit(2), F.col("k").cast("int") + 1)).alias("r"))
+        again = again.join(members, ["pattern", "r"]).filter("doc < b").select(F.col("doc").alias("a"), "b", "pattern").join(close, ["a", "b"], "left_anti")
+        again = again.groupBy("pattern", "b").agg(F.min("a").alias("a")).select("a", "b")
+        more = K.settle(_aligned(tried.filter("done IS NULL").select("a", "b").unionByName(again).distinct(), whole, kind))
+        found = found.unionByName(more)
+        low, high = high + 1, high * 4
+        if low <= last:
+            todo = K.settle(left_in_place(todo, more))
+    return found
 
 
 def dedup(docs: DataFrame, min_chars: int = 20, rare: int = 8, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_chars") -> DataFrame:

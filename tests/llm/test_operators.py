@@ -176,6 +176,30 @@ def test_line_dedup(spark, awkward, none):
     assert line_dedup.dedup(none).count() == 0 and line_dedup.trimmed(none).count() == 0
 
 
+def all_pairs(texts, min_chars=20):
+    """The lines each document loses if every pair that shares an anchor is aligned."""
+    split = {i: [x if x.strip() else None for x in t.split("\n")] for i, t in texts.items()}
+    long = {i: [x is not None and len(x.strip()) >= min_chars for x in s] for i, s in split.items()}
+    held = {i: {x for x, k in zip(split[i], long[i]) if k} for i in split}
+    gone = {b: {p for a in split if a < b and held[a] & held[b] for p in line_dedup.doomed(split[a], split[b], long[b])} for b in split}
+    return {b: sorted(g) for b, g in gone.items() if g}
+
+
+def test_line_dedup_common_lines(spark):
+    h, u = "a common line that all of them hold", "a line between the two copies of it"
+    texts = {1: f"{h}\n{u}\n{h}", **{k: f"document {k} begins like this\n{h}\nand {k} has an end of its own" for k in range(2, 12)}}
+    got = {r.doc_id: r.text for r in line_dedup.trimmed(table(spark, *((i, t, "en", "a") for i, t in texts.items()))).collect()}
+    assert set(got) == set(range(3, 12)) and all(h not in t for t in got.values())
+    rnd = random.Random(4)
+    common = [f"common line number {k} of them all" for k in range(5)]
+    rare = [f"a line that is not so common {k}" for k in range(60)]
+    pick = lambda i: rnd.choice([rnd.choice(common), rnd.choice(common), rnd.choice(rare), rnd.choice(["}", "x", "end", ""]), f"line of {i} alone, as it has to be"])
+    texts = {i: "\n".join(pick(i) for _ in range(rnd.randint(1, 9))) for i in range(150)}
+    for few in (2, 8):
+        got = line_dedup.deletions(table(spark, *((i, t, "en", "a") for i, t in texts.items())), rare=few)
+        assert {r.doc.id: r.gone for r in got.collect()} == all_pairs(texts)
+
+
 # 5 token counts
 
 
