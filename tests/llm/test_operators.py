@@ -347,6 +347,28 @@ def test_disguises(spark, toxic, awkward, none):
     assert toxicity.scores(docs, labels.limit(0)).filter("score > 0").count() == 0
 
 
+APART = ["i d i o t.", 'he said "i d i o t', "the (m o r o n) on", "t r a s h! and on", "i m b é c i l e", "there: i m b é c i l e, on", "i. d. i. o. t."]
+CLEAN_APART = ["a. b. c. d.", "é è à ù ç", "(1) (2) (3) (4)"]
+
+
+@pytest.fixture(scope="module")
+def imbecile(spark, toxic):
+    docs, labels = toxic
+    more = docs.filter("doc_id % 4 = 0").withColumn("doc_id", F.col("doc_id") + 500).withColumn("text", F.concat("text", F.lit(" imbécile loser")))
+    return docs.unionByName(more), labels.unionByName(more.select("doc_id", F.lit(1).alias("quality"), F.lit(1).alias("toxic")))
+
+
+def marked(spark, made, tries):
+    extra = table(spark, *((1000 + k, t, "en", "a") for k, t in enumerate(tries)))
+    got = {r.doc_id: r.toxic for r in toxicity.scores(made[0].unionByName(extra), made[1], recall=1.0).filter("doc_id >= 1000").collect()}
+    return {t: got[1000 + k] for k, t in enumerate(tries)}
+
+
+def test_letters_apart(spark, imbecile):
+    got = marked(spark, imbecile, APART + CLEAN_APART)
+    assert got == {t: t in APART for t in APART + CLEAN_APART}
+
+
 # 9 mixing
 
 
