@@ -369,6 +369,11 @@ def test_letters_apart(spark, imbecile):
     assert got == {t: t in APART for t in APART + CLEAN_APART}
 
 
+def test_slight_disguises(spark, imbecile):
+    tries, clean = ["idi*t", "stu-pid", "id.iot", "iddiot", "sstupid", "los€r", "imbéécile", "st~upid"], ["on-the", "th.ere", "andd", "t*ere", "100€", "..."]
+    assert marked(spark, imbecile, tries + clean) == {t: t in tries for t in tries + clean}
+
+
 # 9 mixing
 
 
