@@ -148,13 +148,41 @@ def solve(data: np.ndarray, tension: float, convergence: float, rounds: int) ->
     return z * scale + base
 
 
+def _coarse(cells: DataFrame, n: int, factor: int, tension: float, convergence: float, rounds: int) -> np.ndarray | None:
+    """The surface of the whole grid on cells ``factor`` times larger; None without data."""
+    m = -(-n // factor)
+    at = lambda c: F.floor(F.col(c) / factor).cast("int").alias(c)
+    got = cells.filter("v IS NOT NULL").groupBy(at("cx"), at("cy")).agg(F.avg("v").alias("v")).toPandas()  # no more than m * m rows
+    if not len(got):
+        return None
+    data = np.full((m, m), np.nan)
+    data[got["cy"], got["cx"]] = got["v"].astype(float)
+    t = tension * factor**2  # the gradient's weight grows with the cell against the laplacian's
+    return solve(data, t / (1 - tension + t), convergence, rounds)
+
+
+def _between(far: np.ndarray, ys: np.ndarray, xs: np.ndarray, factor: int) -> np.ndarray:
+    """The coarse surface at fine cells, linear between the centres of coarse ones."""
+
+    def weights(p):
+        u = (p + 0.5) / factor - 0.5
+        i = np.clip(np.floor(u).astype(int), 0, max(len(far) - 2, 0))
+        return i, np.minimum(i + 1, len(far) - 1), u - i
+
+    (i, i1, f), (j, j1, g) = weights(ys), weights(xs)
+    rows = far[i] * (1 - f)[:, None] + far[i1] * f[:, None]
+    return rows[:, j] * (1 - g) + rows[:, j1] * g
+
+
 def surface(
     cells: DataFrame, n: int, tension: float = 0.35, convergence: float = 0.01, rounds: int = 5000, upper: float | None = None, data_limits: bool = False, block: int = 192, halo: int = 32
 ) -> DataFrame:
     """A spline in tension through the cells ``(cx, cy, v)`` of an n by n grid, at every cell.
 
-    The grid is solved in blocks that overlap by a halo, so no group holds more than ``(block + 2 halo)**2`` cells; a
-    grid no larger than a block is solved as one. ``upper`` and ``data_limits`` bound the result.
+    A grid no larger than a block is solved as one. A larger one is solved whole on cells coarse enough for one block,
+    then in blocks that overlap by a halo, so no group holds more than ``(block + 2 halo)**2`` cells; the coarse
+    surface is held at the outer edge of the halo, so far data count and blocks without data are covered. ``upper``
+    and ``data_limits`` (those of all data) bound the result.
     """
     blocks = -(-n // block)
     lo = lambda c: F.greatest(F.lit(0), F.floor((F.col(c) - halo) / block).cast("int"))
@@ -162,15 +190,32 @@ def surface(
     homes = cells.filter("v IS NOT NULL").select("cx", "cy", F.col("v").cast("double").alias("v"), F.explode(F.sequence(lo("cx"), hi("cx"))).alias("bx"), F.sequence(lo("cy"), hi("cy")).alias("bys"))
     homes = homes.select("cx", "cy", "v", "bx", F.explode("bys").alias("by"))
 
+    far = limits = None
+    if blocks > 1:
+        far = _coarse(cells, n, -(-n // block), tension, convergence, rounds)
+        if far is not None:
+            every = cells.sparkSession.range(blocks * blocks).select((F.col("id") % blocks).cast("int").alias("bx"), F.floor(F.col("id") / blocks).cast("int").alias("by"))
+            homes = homes.unionByName(every, allowMissingColumns=True)
+        if data_limits:
+            limits = tuple(cells.agg(F.min("v").cast("double"), F.max("v").cast("double")).first())
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bx, by = int(pdf["bx"].iloc[0]), int(pdf["by"].iloc[0])
         x0, y0 = max(0, bx * block - halo), max(0, by * block - halo)
         x1, y1 = min(n, (bx + 1) * block + halo), min(n, (by + 1) * block + halo)
         data = np.full((y1 - y0, x1 - x0), np.nan)
-        data[pdf["cy"] - y0, pdf["cx"] - x0] = pdf["v"]
+        pdf = pdf[pdf["v"].notna()]
+        data[pdf["cy"].to_numpy(int) - y0, pdf["cx"].to_numpy(int) - x0] = pdf["v"]
+        low, high = limits or ((np.nanmin(data), np.nanmax(data)) if data_limits else (None, None))
+        if far is not None:
+            edge = np.zeros(data.shape, bool)  # two cells deep, but free where the grid ends
+            edge[: 2 * (y0 > 0)] = edge[data.shape[0] - 2 * (y1 < n) :] = True
+            edge[:, : 2 * (x0 > 0)] = edge[:, data.shape[1] - 2 * (x1 < n) :] = True
+            edge &= np.isnan(data)
+            data[edge] = _between(far, np.arange(y0, y1), np.arange(x0, x1), -(-n // block))[edge]
         z = solve(data, tension, convergence, rounds)
         if data_limits:
-            z = np.clip(z, np.nanmin(data), np.nanmax(data))
+            z = np.clip(z, low, high)
         if upper is not None:
             z = np.minimum(z, upper)
         ys, xs = np.mgrid[max(y0, by * block) : min(n, (by + 1) * block), max(x0, bx * block) : min(n, (bx + 1) * block)]

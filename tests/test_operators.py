@@ -155,6 +155,18 @@ def test_surface_honours_data():
     assert np.abs(z - (3.0 * xx - 2.0 * yy)).max() < 0.05  # a plane has no curvature
 
 
+def test_surface_in_blocks(spark):
+    n = 200
+    points = [(int(x), int(y), float(50 * math.sin(x / 30) + y / 2)) for x, y in np.random.default_rng(3).integers(0, [100, n], (300, 2))]
+    cells = spark.createDataFrame([(x, y, v) for (x, y), v in {(x, y): v for x, y, v in points}.items()], "cx int, cy int, v double")
+    whole = gridding.surface(cells, n, block=n, data_limits=True).toPandas().set_index(["cx", "cy"])["v"]
+    for block in (192, 48):
+        got = gridding.surface(cells, n, block=block, data_limits=True).toPandas().set_index(["cx", "cy"])["v"]
+        assert len(got) == n * n and got.index.is_unique
+        off = (got - whole).abs()
+        assert off.mean() < 0.5 and off.max() < 1  # the values span more than 100
+
+
 def test_gap_fill_keeps_the_composite(spark):
     i = Inputs(spark, SF)
     have = i.composite.filter("cx < 40")
