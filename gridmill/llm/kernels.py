@@ -7,6 +7,8 @@ so no Python object is made per word. A word is a maximal run of bytes that are
 from __future__ import annotations
 
 import atexit
+import ctypes
+import re
 import shutil
 import tempfile
 import uuid
@@ -183,17 +185,27 @@ def shard_bounds(sorted_hashes: np.ndarray, shards: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(sorted_hashes, edges), [len(sorted_hashes)]])
 
 
-def slices(batches, text: str = "text", block_bytes: int = 8 << 20):
+def trim() -> None:
+    """Gives memory that is no longer used back to the system: an idle worker then holds little more than its modules."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library
+        pass
+
+
+def slices(batches, text: str | int = "text", block_bytes: int = 8 << 20):
     """Record batches cut into slices of at most about block_bytes of text, whole rows each."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, off = utf8(batch.column(batch.schema.get_field_index(text)))
+        _, off = utf8(batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text)))
         i = 0
         while i < batch.num_rows:
             j = max(i + 1, int(np.searchsorted(off, off[i] + block_bytes, "right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+    trim()
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -217,25 +229,83 @@ def numbered(df: DataFrame) -> tuple[DataFrame, str]:
 
 @lru_cache(1)
 def _local_dir() -> str:
-    """A folder for sessions without a shared one, as in tests; it goes when the process ends."""
+    """A folder for local sessions without a shared one, as in tests; it goes when the process ends."""
     path = tempfile.mkdtemp(prefix="gridmill-")
     atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder name in the shared folder that the cluster names; a local one only where none is set."""
+    """A new folder name in the shared folder that the cluster names; a local one only in a local session where none is set.
+
+    All folders of an application lie in one, which goes when its driver ends.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    base = base or _local_dir()
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = _local_dir()
+    home = f"{base.rstrip('/')}/gridmill-{spark.sparkContext.applicationId}"
+    _remove_at_end(spark, home)
+    return f"{home}/{uuid.uuid4().hex}"
+
+
+_HOMES: set[str] = set()
+
+
+def _path(spark: SparkSession, path: str):
+    """The file system of a path and the path, in the driver's JVM."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
 
+def _remove_at_end(spark: SparkSession, home: str) -> None:
+    if home not in _HOMES:
+        _HOMES.add(home)
+        fs, at = _path(spark, home)
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
 
-def settle(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder and read again: lineage ends, and the loss of an executor costs nothing."""
-    path = shared_dir(df.sparkSession)
+
+def settle(df: DataFrame, over: DataFrame | None = None) -> DataFrame:
+    """The rows written to the shared folder and read again: lineage ends, and the loss of an executor costs nothing.
+
+    ``over`` is a settled table that nothing needs any more once these rows are written; its files go.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    if over is not None:
+        drop(over)
+    return spark.read.parquet(path)
+
+
+def drop(settled: DataFrame) -> None:
+    """Removes the files of a settled table that no plan reads any more."""
+    spark = settled.sparkSession
+    homes = {f.rsplit("/", 1)[0] for f in settled.inputFiles()}
+    for path in homes:
+        if f"/gridmill-{spark.sparkContext.applicationId}/" in path:
+            fs, at = _path(spark, path)
+            fs.delete(at, True)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Bytes of the files (or rows) that a plan reads, as the engine knows them; by the shuffle partitions where it doesn't."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return total if total < 1 << 60 else shuffle_parts(df.sparkSession) << 26
+
+
+def small_batches(spark: SparkSession, limit: int = 16 << 20) -> None:
+    """Long texts make large batches; the session's limit of bytes in one is lowered, so that neither side of the pipe holds much."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    try:
+        if int(spark.conf.get(key).rstrip("b")) > limit:
+            spark.conf.set(key, str(limit))
+    except ValueError:  # given with another unit: the user's own choice
+        pass

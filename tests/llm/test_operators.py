@@ -416,33 +416,79 @@ def test_mixing_on_awkward_input(awkward, none):
 # 10 quality
 
 
+def kneser_ney(texts, order):
+    """Interpolated modified Kneser-Ney by the book: the probability of a byte after the bytes before it."""
+    padded = [b"\n" * (order - 1) + t.encode() for t in texts]
+    counts = {order: collections.Counter(t[i - order : i] for t in padded for i in range(order, len(t) + 1))}
+    for n in range(order - 1, 0, -1):
+        counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
+    cut = {}
+    for n, c in counts.items():
+        n1, n2, n3, n4 = (max(1, sum(v == i for v in c.values())) for i in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        cut[n] = [0, *(min(max(i - (i + 1) * y * b / a, 0.01), i) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))]
+    after = {n: collections.defaultdict(list) for n in counts}
+    for n, c in counts.items():
+        for g, v in c.items():
+            after[n][g[:-1]].append(v)
+
+    def prob(g):
+        if not g:
+            return 1 / 256
+        n, low = len(g), prob(g[1:])
+        seen = after[n].get(g[:-1])
+        if not seen:
+            return low
+        total, c = sum(seen), counts[n].get(g, 0)
+        return (max(c - cut[n][min(c, 3)], 0) + sum(cut[n][min(v, 3)] for v in seen) * low) / total
+
+    return prob
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
+def test_perplexities_by_brute_force(spark, order):
+    rnd = random.Random(12)
+    texts = [(i, words(rnd, rnd.randint(1, 40), 30) + rnd.choice(["", " é日", "\n"]), lang) for lang, ids in (("en", range(40)), ("de", range(40, 70))) for i in ids]
+    df = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, *_ in texts if i % 3], "doc_id long, quality int")
+    used = {r.id for r in quality._training_ids(quality._trusted(df.selectExpr("doc_id id", "lang"), labels, "doc_id"), 20).collect()}
+    assert len(used) == 20 and all(i % 3 for i in used)
+    got = {r.doc_id: r for r in quality.perplexities(df, labels, order=order, train_rows=20, quantile=0.9).collect()}
+    for lang in ("en", "de"):
+        prob = kneser_ney([t for i, t, own in texts if own == lang and i in used], order)
+        bits = {}
+        for i, t, own in texts:
+            if own == lang:
+                whole = b"\n" * (order - 1) + t.encode()
+                bits[i] = -sum(math.log2(prob(whole[k - order : k])) for k in range(order, len(whole) + 1)) / len(t.encode())
+        limit = np.quantile([round(b, 4) for i, b in bits.items() if i % 3 and i not in used], 0.9)
+        for i, b in bits.items():
+            assert abs(math.log2(got[i].perplexity) - b) < 1e-4 and abs(math.log2(got[i].threshold) - limit) < 2e-4
+            assert abs(b - limit) < 2e-4 or got[i].keep == (b <= limit)
+
+
 def test_model_is_a_distribution(spark):
     rnd = random.Random(12)
     df = spark.createDataFrame([("en", words(rnd, 80, 20)) for _ in range(20)], "lang string, text string")
-    probs, gammas = quality._train(df, 3)
-    p = {n: {r.key: r.p for r in t.collect()} for n, t in enumerate(probs, 1)}
-    g = {n: {r.key: r.gamma for r in t.collect()} for n, t in enumerate(gammas, 1)}
+    t = quality.train_tables(df, ["en"], 3).toPandas()
+    for ctx in (0x2077, 0x7731, 0x3920, 0x0A0A, 0x1234):
+        p = 2.0 ** quality.log2_of(np.array([ctx << 8 | c for c in range(256)], np.uint64), t["n"].to_numpy(), t["kind"].to_numpy(), t["key"].to_numpy().astype(np.uint64), t["v"].to_numpy(), 3)
+        assert abs(p.sum() - 1) < 1e-9
 
-    def prob(ctx, c, n):
-        if n == 0:
-            return 1 / 256
-        h = ctx & ((1 << 8 * (n - 1)) - 1)
-        if h << 8 | c in p[n]:
-            return p[n][h << 8 | c]
-        return g[n].get(h, 1.0) * prob(ctx, c, n - 1)
 
-    for ctx in (0x2077, 0x7731, 0x3920, 0x0A0A, 0x1234):
-        assert abs(sum(prob(ctx, c, 3) for c in range(256)) - 1) < 1e-9
-    m = quality.Model(["en"], 3, *[[(lambda k: (k, np.array([t[int(x)] for x in k])))(np.array(sorted(t), np.uint64)) for t in x.values()] for x in (p, g)])
-    keys = np.array([0x207731, 0x773120, 0x0A0A77, 0x123456], np.uint64)
-    want = [math.log2(prob(int(k) >> 8, int(k) & 255, 3)) for k in keys]
-    assert np.allclose(m.log2(keys, np.zeros(4, int)), want) and np.allclose(m.cached(keys), want, atol=1e-5) and np.allclose(m.cached(keys), want, atol=1e-5)
+def test_many_languages(spark):
+    df = spark.createDataFrame([(i, f"words of language {i // 3} alone {'abc'[i % 3]}", f"l{i // 3}") for i in range(900)], "doc_id long, text string, lang string")
+    labels = df.selectExpr("doc_id", "1 AS quality")
+    got = quality.perplexities(df, labels)
+    assert got.filter("perplexity IS NULL").count() == 0 and got.filter("threshold IS NULL").count() == 0
 
 
 def test_byte_grams():
     data, off = kernels.utf8(pa.array(["abc", "", "é"]))
     got = [int(x) for x in quality.byte_grams(data, off, 3)]
     assert got == [0x0A0A61, 0x0A6162, 0x616263, 0x0A0AC3, 0x0AC3A9]
+    for step in (1, 2, 3, 100):
+        assert [int(x) for *_, part in quality.gram_parts(data, off, 3, step) for x in part] == got
 
 
 def test_quality(spark, awkward, none):
@@ -451,9 +497,12 @@ def test_quality(spark, awkward, none):
     df = table(spark, *docs)
     labels = spark.createDataFrame([(i, 1, 0) for i in range(80)] + [(5, 1, 0), (7, 0, 0), (77777, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = {r.doc_id: r.keep for r in quality.perplexities(df, labels).collect()}
-    assert all(got[i] for i in range(120)) and not any(got[200 + i] for i in range(20))
+    # the threshold is a quantile of trusted rows, so what lies beyond it goes: here one of them and what is still less likely
+    assert sum(got[i] for i in range(120)) >= 0.97 * 120 and not any(got[200 + i] for i in range(20))
     kept = quality.keep_good(df, labels)
-    assert kept.columns == df.columns and kept.count() == 120
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, k in got.items() if k}
+    every = {r.doc_id: r.keep for r in quality.perplexities(df, labels, quantile=1.0).collect()}
+    assert all(every[i] for i in range(80)) and not any(every[200 + i] for i in range(20))
     assert quality.keep_good(awkward, labels.limit(0)).count() == 12
     both = quality.perplexities(awkward.unionByName(df), labels)
     assert both.filter("keep IS NULL").count() == 0 and both.filter("doc_id IN (3, 4, 5) AND perplexity IS NULL AND keep").count() >= 2
