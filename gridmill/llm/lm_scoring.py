@@ -1,10 +1,11 @@
 """Stupid-backoff scores of every document under the n-gram counts of all the other documents.
 
 Count tables are partitioned by n-gram hash. A block of documents sends each shard the distinct n-grams it
-holds (with its counts); the shard adds them up over all blocks and answers with totals; the block joins the
-totals to its exploded n-grams and sums per document. A shard row carries many n-grams as a packed column, so
-the join costs about six shuffled bytes per distinct n-gram of a block instead of a row each. The number of
-shards follows ``spark.sql.shuffle.partitions``; nothing is broadcast or collected.
+holds (with its counts); the shard makes its part of the count table of them (``count_table``) and joins it to the
+n-grams of each block (``joined``), and the block joins the totals to its exploded n-grams and sums per document.
+Table and join are held in packed columns and done where the shard is: as rows of an n-gram each, written once for
+the table and once more for the join, they would need more disk than the documents several times over. The number
+of shards follows the size of the input, so that a shard stays as large; nothing is broadcast or collected.
 
 The score of a word is the relative frequency of its longest n-gram found in *other* documents (a document's
 own counts are taken off), times ``alpha`` for every order given up. A word found in no other document scores
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 
 from gridmill.llm import kernels as K
 
+SHARD_BYTES = 5 << 20  #: bytes of input for each shard
 _ASK = "shard int, block long, ord int, grams binary, counts binary"
 _REPLY = "block long, kind int, shard int, grams binary, ids binary"
 
@@ -76,10 +78,25 @@ def _keys(h: np.ndarray, woff: np.ndarray, n: int) -> np.ndarray:
     return g[K.inside(woff, n)] & K.U64(2**64 - 256) if len(g) else g
 
 
+def count_table(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of all blocks in order, each once, and how often the corpus has them."""
+    key = np.concatenate(grams)
+    by = np.argsort(key, kind="stable")
+    key = key[by]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[new], np.add.reduceat(np.concatenate(counts)[by], new)
+
+
+def joined(grams: list[np.ndarray], table: np.ndarray, totals: np.ndarray):
+    """For each block the corpus counts of its n-grams."""
+    for g in grams:
+        yield totals[np.searchsorted(table, g)]
+
+
 def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, n_tokens, score)`` for every row: the mean log10 stupid-backoff score of its words."""
-    spark = docs.sparkSession
-    shards = max(8, 2 * K.shuffle_parts(spark))
+    K.small_batches(docs.sparkSession)
+    shards = max(8, K.input_bytes(docs) // SHARD_BYTES)
     docs = docs.select(id_col, F.col(text_col).alias("text"))
     id_type = docs.schema[0].dataType.simpleString()
 
@@ -108,16 +125,10 @@ def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4, id_col:
         for n in np.unique(orders):
             at = np.flatnonzero(orders == n)
             each = [K.unpack_sorted(grams[i]) for i in at]
-            key = np.concatenate(each)
-            by = np.argsort(key, kind="stable")
-            ranked = key[by]
-            new = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
-            sums = np.add.reduceat(np.concatenate([K.unpack(counts[i]) for i in at])[by], new)
-            answer = np.empty(len(key), K.U64)
-            answer[by] = np.repeat(sums, np.diff(np.append(new, len(key))))
-            lens = np.cumsum([0] + [len(x) for x in each])
-            out += [(int(blocks[i]), int(n), shard, K.pack(answer[a:b])) for i, a, b in zip(at, lens[:-1], lens[1:])]
+            found = joined(each, *count_table(each, [K.unpack(counts[i]) for i in at]))
+            out += [(int(blocks[i]), int(n), shard, K.pack(x)) for i, x in zip(at, found)]
         b, n, k, p = zip(*out)
+        K.trim()
         return pa.table({"block": pa.array(b, pa.int64()), "kind": pa.array(n, pa.int32()), "shard": pa.array(k, pa.int32()), "grams": pa.array(p, pa.binary()), "ids": pa.nulls(len(b), pa.binary())})
 
     def score(table: pa.Table) -> pa.Table:
