@@ -1,13 +1,15 @@
 """Repeated passages: exact repeats of word windows, found through a count-min prefilter.
 
-Pass one sends each shard of the window-hash range the sparse sketch of every block (which counters its
-windows raise, as sorted 32-bit prints). A shard merges them into a count-min sketch of ``depth`` rows of
-``width`` counters, which can only overestimate, and answers each block with the windows whose estimate is at
-least two. Pass two groups exactly, by 64-bit hash, only those windows; the ones that occur in two rows or more
-are repeated. No repeated window is lost, because each of its occurrences raises the same counters. Overlapping
-and touching repeated windows of a row join into spans.
+Pass one: each block of documents makes a count-min sketch of its windows, ``depth`` rows of ``width`` counters for
+each shard of the hash range, sent in sparse form (the counters that are not 0, and which of them are more than 1).
+The shard merges the sketches of all blocks by adding their counters, so that it can only overestimate, and answers
+each block with which of the block's counters have reached two. Pass two groups exactly, by 64-bit hash, only the
+windows whose estimate, the least of their counters, is at least two; those that occur in two rows or more are
+repeated. No repeated window is lost, because each of its occurrences raises the same counters. Overlapping and
+touching repeated windows of a row join into spans.
 
-Shards follow ``spark.sql.shuffle.partitions`` and every sketch stays with its shard: nothing is broadcast.
+The number of shards follows the size of the input, so that a shard's sketch stays as full; every sketch stays with its
+shard: nothing is broadcast.
 
 Defined results: a row with fewer than ``window`` words (null and blank text too) has no span; equal rows repeat
 each other; a window that recurs only within one row is no repeat; an empty table gives no rows; other columns
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from gridmill.llm import kernels as K
 from gridmill.llm.lm_scoring import block_key, payload, read_ids, unpayload
 
-_PRINTS = "shard int, block long, prints binary"
+SHARD_BYTES = 8 << 20  #: bytes of input for each shard, at most twice as many
+_SKETCH = "shard int, block long, sketch binary"
 _FLAGS = "block long, kind int, shard int, grams binary, ids binary"
 _HITS = "shard int, part int, block long, hashes binary, rows binary, spots binary, ids binary"
 
@@ -41,15 +44,27 @@ def _windows(data: np.ndarray, off: np.ndarray, window: int):
     return h[by], rows, at - woff[rows] if len(at) else at
 
 
-def _print32(h: np.ndarray, shards: int) -> np.ndarray:
-    """The 32 bits that follow the shard in the hash, kept in hash order."""
-    return ((h * K.U64(shards)) >> K.U64(32)) & K.U64(0xFFFFFFFF) if shards & (shards - 1) == 0 else h & K.U64(0xFFFFFFFF)
+def _counters(h: np.ndarray, row: int, shard_bits: int, width_bits: int) -> np.ndarray:
+    """The counter of each window in a row of its shard's sketch; the first row keeps the order of the hashes."""
+    if row == 0:
+        return (h << K.U64(shard_bits)) >> K.U64(64 - width_bits)
+    return K.mix(h + K.U64(row * 0x9E3779B97F4A7C15 % 2**64)) >> K.U64(64 - width_bits) if row > 1 else h & K.U64((1 << width_bits) - 1)
+
+
+def _distinct(c: np.ndarray, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counters in order, each once, and the place among them of each window's."""
+    if row:
+        return np.unique(c, return_inverse=True)
+    new = np.ones(len(c), bool)
+    new[1:] = c[1:] != c[:-1]
+    return c[new], np.cumsum(new) - 1
 
 
 def repeated_spans(docs: DataFrame, window: int = 50, width_bits: int = 23, depth: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, start_word, end_word, n_words)``: maximal spans of words whose windows recur in another row."""
-    spark = docs.sparkSession
-    shards = 1 << max(3, K.shuffle_parts(spark).bit_length())
+    K.small_batches(docs.sparkSession)
+    shard_bits = max(3, (K.input_bytes(docs) // SHARD_BYTES).bit_length())
+    shards = 1 << shard_bits
     docs = docs.select(id_col, F.col(text_col).alias("text"))
     id_type = docs.schema[0].dataType.simpleString()
 
@@ -59,32 +74,37 @@ def repeated_spans(docs: DataFrame, window: int = 50, width_bits: int = 23, dept
             h, _, _ = _windows(data, off, window)
             cut = K.shard_bounds(h, shards)
             own = np.flatnonzero(np.diff(cut))
-            prints = _print32(h, shards)
+            sketches = []
+            for k in own:
+                parts = []
+                for d in range(depth):
+                    c, at = _distinct(_counters(h[cut[k] : cut[k + 1]], d, shard_bits, width_bits), d)
+                    packed = K.pack_sorted(c)
+                    parts += [len(packed).to_bytes(8, "little"), packed, np.packbits(np.bincount(at) > 1).tobytes()]
+                sketches.append(b"".join(parts))
             yield pa.record_batch(
-                [pa.array(own, pa.int32()), pa.array(np.full(len(own), block_key(data, off)), pa.int64()), pa.array([K.pack_sorted(prints[cut[k] : cut[k + 1]]) for k in own], pa.binary())],
-                ["shard", "block", "prints"],
+                [pa.array(own, pa.int32()), pa.array(np.full(len(own), block_key(data, off)), pa.int64()), pa.array(sketches, pa.binary())],
+                ["shard", "block", "sketch"],
             )
 
+    def rows_of(sketch: bytes):
+        """Of each row of a block's sketch the counters and whether they are more than 1."""
+        at = 0
+        for _ in range(depth):
+            end = at + 8 + int.from_bytes(sketch[at : at + 8], "little")
+            c = K.unpack_sorted(sketch[at + 8 : end]).astype(np.int64)
+            at = end + (len(c) + 7) // 8
+            yield c, np.unpackbits(np.frombuffer(sketch[end:at], np.uint8), count=len(c))
+
     def merge(table: pa.Table) -> pa.Table:
         shard = table["shard"][0].as_py()
-        rows = [np.zeros(1 << width_bits, np.uint8) for _ in range(depth)]
-
-        def counters(p: np.ndarray, d: int) -> np.ndarray:
-            return (K.mix(p + K.U64((d + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> K.U64(64 - width_bits)).astype(np.int64)
-
-        for p in table["prints"]:
-            p, n = np.unique(K.unpack_sorted(p.as_py()), return_counts=True)
-            for d, row in enumerate(rows):
-                at, seen = np.unique(counters(p, d), return_inverse=True)
-                row[at] = np.minimum(row[at] + np.bincount(seen, n), 2).astype(np.uint8)
-        flags = []
-        for p in table["prints"]:
-            p = K.unpack_sorted(p.as_py())
-            est = rows[0][counters(p, 0)]
-            for d in range(1, depth):
-                est = np.minimum(est, rows[d][counters(p, d)])
-            flags.append(K.squeeze(len(p).to_bytes(8, "little") + np.packbits(est > 1).tobytes()))
+        merged = [np.zeros(1 << width_bits, np.uint8) for _ in range(depth)]
+        for sketch in table["sketch"]:
+            for row, (c, twice) in zip(merged, rows_of(sketch.as_py())):
+                row[c] = np.minimum(row[c] + 1 + twice, 2)  # what is beyond 2 doesn't matter
+        flags = [K.squeeze(b"".join(np.packbits(row[c] > 1).tobytes() for row, (c, _) in zip(merged, rows_of(sketch.as_py())))) for sketch in table["sketch"]]
         n = len(flags)
+        K.trim()
         return pa.table({"block": table["block"], "kind": pa.array([1] * n, pa.int32()), "shard": pa.array([shard] * n, pa.int32()), "grams": pa.array(flags, pa.binary()), "ids": pa.nulls(n, pa.binary())})
 
     def exact(table: pa.Table) -> pa.Table:
@@ -96,13 +116,20 @@ def repeated_spans(docs: DataFrame, window: int = 50, width_bits: int = 23, dept
         h, rows, spots = _windows(data, off, window)
         mine = np.flatnonzero(kinds == 1)
         mine = mine[np.unique(at[mine], return_index=True)[1]]
-        flags = []
-        for i in mine:
-            raw = K.expand(table["grams"][int(i)].as_py())
-            flags.append(np.unpackbits(np.frombuffer(raw, np.uint8)[8:], count=int.from_bytes(raw[:8], "little")))
-        keep = np.concatenate(flags).astype(bool) if flags else np.zeros(0, bool)
-        if len(keep) != len(h):
+        cut = K.shard_bounds(h, shards)
+        keep = np.ones(len(h), bool)
+        own = np.flatnonzero(np.diff(cut))
+        if list(at[mine]) != list(own):
             raise RuntimeError("the two readings of the documents differ; give repeated_spans a table or files")
+        for k, i in zip(own, mine):
+            raw, place = np.frombuffer(K.expand(table["grams"][int(i)].as_py()), np.uint8), 0
+            for d in range(depth):
+                c, where = _distinct(_counters(h[cut[k] : cut[k + 1]], d, shard_bits, width_bits), d)
+                upto = place + (len(c) + 7) // 8
+                if upto > len(raw):
+                    raise RuntimeError("the two readings of the documents differ; give repeated_spans a table or files")
+                keep[cut[k] : cut[k + 1]] &= np.unpackbits(raw[place:upto], count=len(c)).astype(bool)[where]
+                place = upto
         h, rows, spots = h[keep], rows[keep], spots[keep]
         block = table["block"][0].as_py()
         cut = K.shard_bounds(h, shards)
@@ -166,7 +193,7 @@ def repeated_spans(docs: DataFrame, window: int = 50, width_bits: int = 23, dept
         last = np.append(first[1:], len(rows)) - 1
         return pa.table({"id": ids.take(pa.array(rows[first])), "a": pa.array(spots[first]), "b": pa.array(spots[last] + window)})
 
-    flags = docs.mapInArrow(sketch, _PRINTS).groupBy("shard").applyInArrow(merge, _FLAGS)
+    flags = docs.mapInArrow(sketch, _SKETCH).groupBy("shard").applyInArrow(merge, _FLAGS)
     kept = flags.unionByName(docs.mapInArrow(payload, _FLAGS)).groupBy("block").applyInArrow(exact, _HITS)
     repeated = kept.groupBy("shard").applyInArrow(group, _HITS)
     joined = repeated.groupBy("block", "part").applyInArrow(spans, f"id {id_type}, a long, b long")
