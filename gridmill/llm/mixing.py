@@ -6,8 +6,9 @@ exponent is found by bisection: the smallest that repeats no source more than ``
 Each source then has a budget of ``floor(weight * budget)`` tokens. Whole copies of a source go as often as the
 budget holds them; of the last copy goes a part: the source's blocks (of about ``block_tokens``, drawn by a hash of
 the id) in the order of a hash-keyed permutation of that copy, while they fit, and of the block that no longer fits
-its documents in hash order while they fit. Texts are read twice and never shuffled: once for counts, of which sums
-by block make the plan, and once to draw; only the ids of a source's one cut block are sorted.
+its documents in hash order while they fit. Texts are read twice: once for counts, of which sums by block make the
+plan, and once to draw; only the ids of a source's one cut block are sorted. The plan by source is broadcast up to
+``MANY`` sources and joined beyond; the drawn blocks (a row for ``block_tokens`` tokens) are joined by their size.
 
 Defined results: rows without a word are left out; null and empty source names are one source, ''; equal rows are
 drawn together; null ids are drawn like any other; a source whose budget is 0 gives no row; an empty
@@ -25,15 +26,19 @@ from gridmill.llm import kernels as K
 STEPS = 50
 
 
-def exponent(shares: np.ndarray, scale: float, max_repeats: float | None, entropy: float | None) -> float:
-    """The exponent by bisection; scale is the budget over all tokens."""
+MANY = 100_000  #: sources up to which the plan by source is broadcast; more are joined
+
+
+def exponent(shares: np.ndarray, scale: float, max_repeats: float | None, entropy: float | None, n: np.ndarray | None = None) -> float:
+    """The exponent by bisection; scale is the budget over all tokens, and n how many sources have each share (one)."""
+    n = np.ones(len(shares)) if n is None else n
 
     def fits(a: float) -> bool:
         w = shares**a
         if entropy is not None:
-            w = w / w.sum()
-            return float(-(w * np.log(w)).sum()) <= entropy
-        return float((w / shares).max()) / float(w.sum()) * scale <= max_repeats
+            w = w / (n * w).sum()
+            return float(-(n * w * np.log(w)).sum()) <= entropy
+        return float((w / shares).max()) / float((n * w).sum()) * scale <= max_repeats
 
     lo, hi = 0.0, 1.0
     for _ in range(STEPS):
@@ -47,24 +52,28 @@ def mix(
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """Every drawn row with its columns, ``copy`` (1 for the first), ``slot`` (the place of its block in that copy's permutation) and ``n_tokens``."""
-    spark = docs.sparkSession
-    docs = docs.select(*(c for c, name in zip(K.own(docs), docs.columns) if name.lower() not in ("copy", "slot", "n_tokens") and not name.lower().startswith("_mix_")))
-    names = K.own(docs)
+    results = [K.fresh(docs, c) for c in ("copy", "slot", "n_tokens")]
+    columns, place_of = docs.columns, docs.columns.index
+    id_col, text_col, source_col = (f"c{place_of(c)}" for c in (id_col, text_col, source_col))
+    docs, _ = K.numbered(docs)
+    names = docs.columns
     tokens = F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), r"[ \t\n\r\f\x0B]+"), "")).cast("long")
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     own = docs.withColumns({"_mix_src": F.coalesce(F.col(source_col), F.lit("")), "_mix_n": tokens, "_mix_id": ident})
     # one pass over the texts; what follows reads only sources, ids and counts
     thin = K.settle(own.select("_mix_src", "_mix_n", "_mix_id").filter("_mix_n > 0"))
-    totals = thin.groupBy("_mix_src").agg(F.sum("_mix_n").alias("t")).orderBy("_mix_src").collect()  # a row for each source
-    if not totals:
-        return own.filter("_mix_n > 0").select(*names, F.lit(0).alias("copy"), F.lit(0).alias("slot"), F.col("_mix_n").alias("n_tokens"))
-    t = np.array([r.t for r in totals], float)
-    shares = t / t.sum()
-    a = exponent(shares, scale, max_repeats, entropy)
-    w = shares**a
-    budget = np.floor(w / w.sum() * (t.sum() * scale)).astype(int)
-    plan = [(r._mix_src, int(r.t), int(b), int(-(-r.t // block_tokens))) for r, b in zip(totals, budget)]
-    plan = F.broadcast(spark.createDataFrame(plan, "_mix_src string, _mix_t long, _mix_b long, _mix_k long"))
+    totals = K.settle(thin.groupBy("_mix_src").agg(F.sum("_mix_n").alias("_mix_t")))
+    # sources of equal size count together: n tokens have no more than sqrt(2 n) different sizes, however many sources there are
+    sizes = totals.groupBy("_mix_t").agg(F.count("*").alias("n")).orderBy("_mix_t").toPandas()
+    if not len(sizes):
+        return own.filter("_mix_n > 0").select(*names, F.lit(0).alias("copy"), F.lit(0).alias("slot"), F.col("_mix_n").alias("n_tokens")).toDF(*columns, *results)
+    t, n = sizes["_mix_t"].to_numpy(float), sizes["n"].to_numpy(float)
+    total = float((t * n).sum())
+    a = exponent(t / total, scale, max_repeats, entropy, n)
+    weight = F.pow(F.col("_mix_t") / F.lit(total), F.lit(a)) / F.lit(float((n * (t / total) ** a).sum()))
+    blocks = F.ceil(F.col("_mix_t") / F.lit(block_tokens))
+    plan = totals.select("_mix_src", "_mix_t", F.floor(weight * F.lit(total * scale)).alias("_mix_b"), blocks.alias("_mix_k"))
+    plan = F.broadcast(plan) if n.sum() <= MANY else plan
     block = F.conv(F.substring(F.md5("_mix_id"), 1, 8), 16, 10).cast("long") % F.col("_mix_k")
     place = F.md5(F.concat_ws("|", F.col("_mix_id"), F.col("copy").cast("string")))
 
@@ -86,7 +95,7 @@ def mix(
     drawn = K.settle(drawn.join(cut, ["_mix_src", "_mix_block", "copy"], "left").drop("left"))
     rows = blocked(own.filter("_mix_n > 0")).join(drawn, ["_mix_src", "_mix_block"])
     fits = ~F.col("_mix_cut") | F.coalesce(F.struct(place.alias("_mix_place"), F.col("_mix_n")) <= F.col("_mix_last"), F.lit(False))
-    return rows.filter(fits).select(*names, "copy", "slot", F.col("_mix_n").alias("n_tokens"))
+    return rows.filter(fits).select(*names, "copy", "slot", F.col("_mix_n").alias("n_tokens")).toDF(*columns, *results)
 
 
 SQL = r"""
