@@ -8,7 +8,7 @@ bit-parallel search (Python integers serve as bit vectors of any length), so a m
 skipped, and nothing above the budget is reported.
 
 The benchmark is broadcast; its size is checked, and a larger one is taken in groups that each fit, with one pass
-over the documents for each group.
+over the documents for each group. A worker builds a group's automaton once and keeps it for its next tasks.
 
 Defined results: null or blank texts and items match nothing; an item too short for an edit must occur exactly and
 between word boundaries; rows and items may repeat, each gives its own match, and of items with one id the nearest
@@ -18,6 +18,8 @@ counts; null ids are carried; empty tables give no rows; other columns are ignor
 
 from __future__ import annotations
 
+from uuid import uuid4
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gridmill.llm import kernels as K
 
-LIMIT_CHARS = 16 << 20
+LIMIT_CHARS = 4 << 20  #: characters of items in a group; its automaton then takes less than 300 MB of a worker
 
 
 def normal(text: Column) -> Column:
@@ -110,6 +112,17 @@ class Matcher:
         return out
 
 
+_KEPT: dict[str, Matcher] = {}
+
+
+def _matcher(name: str, held, rate: float) -> Matcher:
+    """A group's matcher, built once in a worker; one of another group makes place for it."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = Matcher(held.value, rate)
+    return _KEPT[name]
+
+
 def _groups(benchmark: DataFrame, item_col: str, item_text: str, limit: int):
     """The items, in groups small enough to broadcast."""
     items = benchmark.select(F.col(item_col).alias("item"), normal(F.col(item_text)).alias("text")).filter("text <> ''").distinct()
@@ -121,6 +134,7 @@ def _groups(benchmark: DataFrame, item_col: str, item_text: str, limit: int):
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", limit: int = LIMIT_CHARS) -> DataFrame:
     """``(id_col, item_col, distance)`` for every row and item that it holds within the item's budget."""
+    K.small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).alias("id"), normal(F.col(text_col)).alias("text"))
     item_type = benchmark.schema[item_col].dataType
     schema = f"id {docs.schema[0].dataType.simpleString()}, item {item_type.simpleString()}, distance int"
@@ -128,8 +142,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, id_col: s
     for items in _groups(benchmark, item_col, item_text, limit):
         held = docs.sparkSession.sparkContext.broadcast(items)
 
-        def find(batches, held=held):
-            m = Matcher(held.value, rate)
+        def find(batches, held=held, name=uuid4().hex):
+            m = _matcher(name, held, rate)
             for batch in batches:
                 at, item, distance = [], [], []
                 for i, text in enumerate(batch.column(1)):
@@ -156,12 +170,13 @@ def _arrow(kind) -> pa.DataType:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", limit: int = LIMIT_CHARS) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
+    K.small_batches(docs.sparkSession)
     names = docs.columns
     for items in _groups(benchmark, item_col, item_text, limit):
         held = docs.sparkSession.sparkContext.broadcast(items)
 
-        def clean(batches, held=held):
-            m = Matcher(held.value, rate)
+        def clean(batches, held=held, name=uuid4().hex):
+            m = _matcher(name, held, rate)
             for batch in batches:
                 keep = np.array([not m.match(t.as_py()) for t in batch.column(len(names))], bool)
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[:-1]], [f"c{i}" for i in range(len(names))])
