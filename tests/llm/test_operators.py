@@ -4,6 +4,7 @@ import base64
 import collections
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +99,9 @@ def test_decontamination(spark, awkward, none):
     assert small == got  # taken in groups
     kept = decontamination.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {2, 3}
+    twice = table(spark, (None, item, "en", "a"), (None, item, "en", "a"), (7, item + " tiny", "en", "a"), (7, item + " tiny", "en", "a"))
+    again = sorted(((r.doc_id or 0, r.item_id, r.distance) for r in decontamination.matches(twice, bench).collect()))
+    assert again == [(0, 1, 0)] * 2 + [(7, 1, 0)] * 2 + [(7, 4, 0)] * 2
     assert decontamination.matches(awkward, bench).count() == 0 and decontamination.drop_contaminated(awkward, bench).count() == 12
     assert decontamination.matches(none, bench).count() == 0 and decontamination.matches(awkward, bench.limit(0)).count() == 0
 
@@ -118,6 +122,9 @@ def test_topk_by_brute_force(spark):
         d = np.sqrt(((x - x[i]) ** 2).sum(1))
         want = sorted((round(float(v), 6), j) for j, v in enumerate(d) if j != i)[:5]
         assert [(j, v) for v, j in want] == got[i]
+    named = df.selectExpr("concat('v', lpad(vec_id, 4, '0')) AS vec_id", "embedding")  # ids may be text
+    texts = {(r.vec_id, r.rank): (r.neighbor, r.distance) for r in exact_topk.nearest(named, k=5, page_rows=32, max_routers=7).collect()}
+    assert texts == {(f"v{i:04}", k): (f"v{j:04}", d) for i in range(300) for k, (j, d) in enumerate(got[i], 1)}
     assert exact_topk.nearest(df.limit(0)).count() == 0
     assert exact_topk.nearest(df.filter("vec_id IN (1, 2)"), k=5).count() == 2
 
@@ -142,6 +149,19 @@ def test_scores_on_awkward_input(awkward, none):
     assert lm_scoring.score_documents(none).count() == 0
 
 
+@pytest.mark.parametrize("what", [lm_scoring.score_documents, substring_dedup.repeated_spans])
+def test_readings_differ(spark, what):
+    def other_each_time(batches):
+        import os
+
+        for b in batches:
+            yield pa.record_batch([b.column(0), pa.array([" ".join(os.urandom(4).hex() for _ in range(60)) for _ in range(b.num_rows)])], ["doc_id", "text"])
+
+    df = spark.range(50).mapInArrow(other_each_time, "doc_id long, text string")
+    with pytest.raises(Exception, match="two readings"):
+        what(df).count()
+
+
 def test_scores_of_equal_blocks(spark):
     df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert [(r.n_tokens, r.score) for r in lm_scoring.score_documents(df.unionByName(df)).collect()] == [(3, round((math.log10(1 * 2 / 6 / 2)) / 3, 4))] * 2
@@ -374,6 +394,39 @@ def test_slight_disguises(spark, imbecile):
     assert marked(spark, imbecile, tries + clean) == {t: t in tries for t in tries + clean}
 
 
+def test_viterbi_by_enumeration():
+    rnd = random.Random(14)
+    grams = collections.Counter()
+    for w in ["idiot", "stupid", "sass", "trash", "loser", "there", "on", "the"]:
+        w = "^^" + w + "$"
+        grams.update(["^", "^^", *w[2:], *(w[i - 1 : i + 1] for i in range(2, len(w))), *(w[i - 2 : i + 1] for i in range(2, len(w)))])
+    c = toxicity.Channel(dict(grams))
+
+    def best(word):
+        paths = {("", 0.0)}
+        before = ""
+        for m in re.finditer(r"(.)\1*", word):
+            for x in m[0][:2]:
+                paths = {(t + y, v + p) for t, v in paths for y, p in c.readings(x, before, len(m[0]) > 2)}
+                before = x
+        cost = lambda t: sum(c.cost(("^^" + t)[i : i + 2], (t + "$")[i]) for i in range(len(t) + 1))
+        return max((v + cost(t), t) for t, v in paths)
+
+    for _ in range(300):
+        word = "".join(rnd.choice("idotsa1!0$-.34") for _ in range(rnd.randint(1, 7)))
+        assert c.decode(word) == best(word)[1]
+    assert c.decode("i.d.1.0.t") == "idiot" and c.decode("s-t-u-p-!-d") == "stupid"
+
+
+def test_lattice_decides(spark, toxic):
+    docs, labels = toxic
+    more = docs.filter("doc_id % 4 = 0").withColumn("doc_id", F.col("doc_id") + 500).withColumn("text", F.concat("text", F.lit(" ass dumb")))
+    made = docs.unionByName(more), labels.unionByName(more.select("doc_id", F.lit(1).alias("quality"), F.lit(1).alias("toxic")))
+    tries = ["you a s s", "4$$ on", "a$$ on", "the a.ss", "d-umb", "d u m b", "so " + "d " * 70 + "u m b"]
+    clean = ["a b c", "$100 455 1984", "i " * 65, "x " * 5000 + "y z " * 3000, "5% + 3$ = 8$"]
+    assert marked(spark, made, tries + clean) == {t: t in tries for t in tries + clean}
+
+
 # 9 mixing
 
 
@@ -394,7 +447,7 @@ def test_mixing_budgets(spark, block):
     docs = table(spark, *((i, words(rnd, rnd.randint(1, 60)), "en", "hot" if i % 10 else "rare") for i in range(600)))
     total = {r.source: r.t for r in docs.groupBy("source").agg(F.sum(F.size(F.split("text", " "))).alias("t")).collect()}
     got = mixing.mix(docs, scale=2.0, max_repeats=2.6, block_tokens=block)
-    assert [c for c in got.columns if c == "copy"] == ["copy"] and "a.b" in got.columns
+    assert got.columns == [*docs.columns, "copy_", "slot", "n_tokens"] and got.filter("copy <> 3").count() == 0
     t = np.array([total["hot"], total["rare"]], float)
     shares = t / t.sum()
     w = shares ** mixing.exponent(shares, 2.0, 2.6, None)
@@ -404,7 +457,21 @@ def test_mixing_budgets(spark, block):
         n = out.agg(F.sum("n_tokens")).first()[0]
         assert b - 60 <= n <= b
         per = out.groupBy("doc_id").count().agg(F.min("count"), F.max("count")).first()
-        assert per[1] - per[0] <= 1 and out.groupBy("doc_id", "copy").count().filter("count > 1").count() == 0
+        assert per[1] - per[0] <= 1 and out.groupBy("doc_id", "copy_").count().filter("count > 1").count() == 0
+
+
+def test_mixing_to_an_entropy(spark):
+    docs = table(spark, *((i, "w " * 50, "en", "hot" if i % 10 else "rare") for i in range(400)))
+    got = {r.source: r.t for r in mixing.mix(docs, entropy=0.5, max_repeats=None, block_tokens=500).groupBy("source").agg(F.sum("n_tokens").alias("t")).collect()}
+    p = np.array(list(got.values())) / sum(got.values())
+    assert abs(-(p * np.log(p)).sum() - 0.5) < 0.02
+
+
+def test_mixing_many_sources(spark, monkeypatch):
+    docs = table(spark, *((i, "w " * (1 + i % 3), "en", f"s{i % 200}") for i in range(600)))
+    want = sorted(map(tuple, mixing.mix(docs).collect()))
+    monkeypatch.setattr(mixing, "MANY", 10)
+    assert sorted(map(tuple, mixing.mix(docs).collect())) == want
 
 
 def test_mixing_on_awkward_input(awkward, none):
