@@ -59,6 +59,36 @@ def augmented(stats: DataFrame, metadata: DataFrame) -> DataFrame:
     )
 
 
+def steering(lines: DataFrame, table: DataFrame) -> DataFrame:
+    """``x y z rid tid`` of static points in lines ``(value, file)``, with the dataset that the file's name is in the table.
+
+    Commas, tabs and blanks separate; numbers are rounded to whole ones, halves to the even one. Files that the table
+    doesn't know are left out, and so are lines without three numbers.
+    """
+    name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "")
+    fields = F.split(F.trim(F.regexp_replace("value", r"[,\s]+", " ")), " ")
+    read = lines.select(name.alias("dataset_name"), F.explode(F.array(fields)).alias("f"))
+    numbers = (F.bround(F.try_element_at("f", F.lit(k)).try_cast("double"), 0).cast("long").alias(c) for k, c in enumerate("xyz", 1))
+    named = table.groupBy("dataset_name").agg(F.min(F.struct(F.col("dataset_rid").alias("rid"), F.col("dataset_tid").alias("tid"))).alias("d"))
+    return read.select("dataset_name", *numbers).dropna(subset=["x", "y", "z"]).join(named, "dataset_name").select("x", "y", "z", "d.rid", "d.tid")
+
+
+def surface_points(points: DataFrame, limit: int = 1420) -> DataFrame:
+    """Static points that a surface may have: those below its upper limit."""
+    return points.filter(F.col("z") < limit)
+
+
+def static_medians(points: DataFrame, grid: Grid) -> DataFrame:
+    """``cx cy x y rid median n``: the unweighted median of the static points of each cell, with the position and dataset of the median point."""
+    return cell_stats(points.withColumn("weight", F.lit(1)), grid).select("cx", "cy", "x", "y", "rid", "median", "n")
+
+
+def with_files(summary: DataFrame, files: DataFrame) -> DataFrame:
+    """Tile summaries with megabytes and time of the file of each tile and type, ``(tile_id, type, bytes, modified)``; null without a file."""
+    f = files.select("tile_id", "type", (F.col("bytes") / 1024 / 1024).alias("mb"), "modified")
+    return summary.join(f, ["tile_id", "type"], "left")
+
+
 def by_tile(stats: DataFrame, grid: Grid, kind: str) -> DataFrame:
     """Cells, datasets and extents of each tile's statistics; the tile is that of the median sample."""
     from gridmill.operators.tiling import with_tile
@@ -79,6 +109,15 @@ def column(product: DataFrame, name: str) -> DataFrame:
 NUMBERS = ("rid", "min", "q25", "median", "q75", "max", "sum_weight", "tid", "dataset_weight")
 
 
+TEXTS = ("data_name", "contrib_org")
+
+
+def long_texts(product: DataFrame) -> DataFrame:
+    """The two columns of text in long form, from one scan."""
+    pairs = ", ".join(f"'{c}', `{c}`" for c in TEXTS)
+    return product.selectExpr("x", "y", f"stack({len(TEXTS)}, {pairs}) AS (attribute, value)")
+
+
 def long_columns(product: DataFrame) -> DataFrame:
     """All numeric columns in long form, from one scan."""
     pairs = ", ".join(f"'{c}', CAST(`{c}` AS BIGINT)" for c in NUMBERS)

@@ -29,6 +29,13 @@ def looked_up(names: DataFrame, metadata: DataFrame) -> DataFrame:
     return names.join(m, F.lower(names["name"]) == m["_k"], "left").select("name", "rid")
 
 
+def looked_up_static(files: DataFrame, metadata: DataFrame) -> DataFrame:
+    """``file rid tid``: the dataset that the name of a static file (without its folder and ending) is in the metadata, null if it isn't."""
+    name = F.regexp_replace(F.element_at(F.split("file", "/"), -1), r"\.[^.]*$", "")
+    m = metadata.groupBy(F.col("dataset_name").alias("_k")).agg(F.min(F.struct("dataset_rid", "dataset_tid")).alias("m"))
+    return files.select("file", name.alias("_n")).join(m, F.col("_n") == F.col("_k"), "left").select("file", F.col("m.dataset_rid").alias("rid"), F.col("m.dataset_tid").alias("tid"))
+
+
 def curated(table: DataFrame) -> DataFrame:
     """All text columns without tabs and line ends, trimmed, blank as null: one projection."""
     return table.select(*(X.curated(F.col(f.name)).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in table.schema.fields))
@@ -43,6 +50,23 @@ def refreshed(metadata: DataFrame, extents: DataFrame) -> DataFrame:
     return got.select(*(c for c in metadata.columns if c not in values), *(o.alias(c) for o, c in zip(old, values)))
 
 
+def redelivered(metadata: DataFrame, delivered: DataFrame, dates: tuple[str, ...] = ("date_harmonised", "date_tiled")) -> tuple[DataFrame, DataFrame]:
+    """The metadata without the dates of the datasets whose files ``(file)`` were delivered again, and the files that no dataset has.
+
+    A dataset's name is that of its file.
+    """
+    names = delivered.select(F.element_at(F.split("file", "/"), -1).alias("dataset_name")).distinct()
+    again = F.col("_again").isNull()
+    m = metadata.join(names.withColumn("_again", F.lit(True)), "dataset_name", "left")
+    m = m.select(*(F.when(again, F.col(c)).alias(c) if c in dates else F.col(c) for c in metadata.columns))
+    return m, names.join(metadata.select("dataset_name"), "dataset_name", "left_anti").withColumnRenamed("dataset_name", "file")
+
+
+def replaced(table: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
+    """The table with the rows in place of those with the same keys; rows with new keys are added."""
+    return table.join(rows.select(*keys).distinct(), list(keys), "left_anti").select(*table.columns).unionByName(rows)
+
+
 def usage(keys: DataFrame, metadata: DataFrame) -> DataFrame:
     """How many metadata rows each key has, 0 included."""
     m = metadata.groupBy(F.col("dataset_rid").alias("rid")).agg(F.count("*").alias("n"))

@@ -16,17 +16,22 @@ def pairs(a: DataFrame, b: DataFrame) -> DataFrame:
     return R.aligned("inner", x=a, y=b).dropna()
 
 
-def sequenced(p: DataFrame, *order: str, parts: int = 64) -> DataFrame:
+def ranged(p: DataFrame, column: str, parts: int | None = None) -> DataFrame:
+    """With ``_part``, about as many equal shares of the rows as there are shuffle partitions, in order of a numeric column; equal values are in one."""
+    parts = parts or int(p.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    edges = sorted({e for e in p.approxQuantile(column, [k / parts for k in range(1, parts)], 0.25 / parts)}) if parts > 1 else []
+    part = F.lit(0)
+    for e in edges:
+        part = part + (F.col(column) > F.lit(e)).cast("int")
+    return p.withColumn("_part", F.coalesce(part, F.lit(-1)))
+
+
+def sequenced(p: DataFrame, *order: str, parts: int | None = None) -> DataFrame:
     """With ``seq`` from 0 in the given order, without a sort in one task.
 
-    Rows are ranged on the first order column; each range numbers its own rows and adds the sizes of those before it.
+    Rows are ranged on the first order column by its quantiles; each range numbers its own rows and adds the sizes of those before it.
     """
-    first = order[0]
-    edges = p.agg(F.min(first).alias("lo"), F.max(first).alias("hi")).first()
-    if edges["lo"] is None:
-        return p.withColumn("seq", F.lit(0).cast("long"))
-    width = max(1, -(-(int(edges["hi"]) - int(edges["lo"]) + 1) // parts))
-    p = p.withColumn("_part", F.floor((F.col(first) - int(edges["lo"])) / width))
+    p = ranged(p, order[0], parts)
     sizes = p.groupBy("_part").count().withColumn("_base", F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))).fillna(0, ["_base"])
     rank = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     return p.withColumn("_r", rank).join(F.broadcast(sizes), "_part").withColumn("seq", F.col("_base") + F.col("_r")).drop("_part", "_r", "_base", "count")
@@ -65,11 +70,35 @@ def histogram(p: DataFrame, column: str, low: float, high: float, bins: int) ->
 
 
 def ecdf(p: DataFrame, column: str) -> DataFrame:
-    """The share of rows at or below each distinct value: counts first, then running sums over the values."""
-    c = p.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
-    total = c.agg(F.sum("n").alias("t"))
-    run = F.sum("n").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
-    return c.withColumn("r", run).crossJoin(F.broadcast(total)).select("value", F.round(F.col("r") / F.col("t"), 9).alias("share"))
+    """The share of rows at or below each distinct value: counts first, then running sums within ranges of values, each from the sum of the ranges before it."""
+    c = ranged(p.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")), "value")
+    sizes = c.groupBy("_part").agg(F.sum("n").alias("m"))
+    before = F.sum("m").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("base"), F.sum("m").over(Window.partitionBy(F.lit(1))).alias("t"))  # a row a range
+    run = F.sum("n").over(Window.partitionBy("_part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    return c.withColumn("r", run).join(F.broadcast(sizes), "_part").select("value", F.round((F.col("base") + F.col("r")) / F.col("t"), 9).alias("share"))
+
+
+def density(p: DataFrame, column: str, low: float, high: float, bins: int) -> DataFrame:
+    """The density of a column in equal bins: the share of all rows by unit of the column, with the middle of each bin; empty bins have none."""
+    c, width = F.col(column).cast("double"), (high - low) / bins
+    total = p.agg(F.count(column).alias("t"))
+    b = histogram(p.filter(c.isNotNull()), column, low, high, bins).filter(F.col("bin").between(1, bins)).crossJoin(F.broadcast(total))
+    return b.select("bin", (low + (F.col("bin") - 0.5) * width).alias("middle"), F.round(F.col("n") / F.col("t") / width, 12).alias("density"))
+
+
+def moving_sorted(p: DataFrame, before: int, after: int, *order: str) -> DataFrame:
+    """``seq x mean``: the rows of the whole series in order of x, with the mean of y over a row and its neighbours.
+
+    Each range of rows gets copies of the rows next to it, so no range waits for another.
+    """
+    s = sequenced(p, *(order or ("x", "y"))).select("seq", "x", "y")
+    size = max(4096, before + after)
+    own = F.floor(F.col("seq") / size)
+    homes = F.sequence(F.floor((F.col("seq") - after) / size), F.floor((F.col("seq") + before) / size))
+    s = s.select("*", own.alias("own"), F.explode(homes).alias("home"))
+    w = Window.partitionBy("home").orderBy("seq").rowsBetween(-before, after)
+    return s.withColumn("mean", F.round(F.avg("y").over(w), 6)).filter("own = home").select("seq", "x", "mean")
 
 
 def summary(p: DataFrame, column: str) -> DataFrame:

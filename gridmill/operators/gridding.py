@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridmill.config import Grid
+from gridmill.sources.files import kept
 
 CELL = ["cx", "cy"]
 
@@ -18,15 +19,21 @@ def nearest_neighbour(points: DataFrame, grid: Grid, radius: float = 1000.0, min
     """At each cell centre the weighted mean of the nearest point of each quadrant within the radius.
 
     Weights are ``1 / (1 + (3 d / radius)**2)``; cells with fewer than ``min_sectors`` quadrants have no value. A
-    point goes to the centres it can reach (a Generate, no join); quadrants keep one point each before they meet.
+    point goes to the centres in its circle, row by row (a Generate, no join); quadrants keep one point each before
+    they meet.
     """
-    reach = int(radius // grid.cell) + 1
-    at = lambda c: F.floor((F.col(c) - grid.low) / F.lit(grid.cell))
-    near = lambda c: F.sequence(F.greatest(F.lit(0), at(c) - reach), F.least(F.lit(grid.cells - 1), at(c) + reach))
-    inside = lambda c: (at(c) + reach >= 0) & (at(c) - reach <= grid.cells - 1)
-    p = points.filter(inside("x") & inside("y")).select("x", "y", "z", F.explode(near("x")).alias("cx"), near("y").alias("ys")).select("x", "y", "z", "cx", F.explode("ys").alias("cy"))
     centre = lambda c: F.col(c) * grid.cell + grid.low + grid.cell / 2
-    p = p.withColumn("dx", F.col("x") - centre("cx")).withColumn("dy", F.col("y") - centre("cy")).withColumn("d2", F.col("dx") ** 2 + F.col("dy") ** 2)
+
+    def near(at, reach):
+        """The cells along an axis whose centres are within reach."""
+        first = F.greatest(F.lit(0), F.ceil((at - reach - grid.low) / F.lit(grid.cell) - 0.5 - 1e-6))
+        last = F.least(F.lit(grid.cells - 1), F.floor((at + reach - grid.low) / F.lit(grid.cell) - 0.5 + 1e-6))
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
+
+    p = points.select("x", "y", "z", F.explode(near(F.col("x"), F.lit(float(radius)))).alias("cx")).withColumn("dx", F.col("x") - centre("cx"))
+    half = F.sqrt(F.greatest(F.lit(0.0), radius * radius - F.col("dx") ** 2))
+    p = p.select("x", "y", "z", "cx", "dx", F.explode(near(F.col("y"), half)).alias("cy"))
+    p = p.withColumn("dy", F.col("y") - centre("cy")).withColumn("d2", F.col("dx") ** 2 + F.col("dy") ** 2)
     p = p.filter(F.col("d2") <= radius * radius)
     sector = F.when(F.col("dx") >= 0, F.when(F.col("dy") >= 0, 0).otherwise(3)).otherwise(F.when(F.col("dy") >= 0, 1).otherwise(2))
     best = p.groupBy("cx", "cy", sector.alias("s")).agg(F.min(F.struct("d2", "z")).alias("b"))
@@ -35,14 +42,47 @@ def nearest_neighbour(points: DataFrame, grid: Grid, radius: float = 1000.0, min
     return out.select(F.col("cx").cast("int").alias("cx"), F.col("cy").cast("int").alias("cy"), "v")
 
 
+def blockwise(raster: DataFrame, n: int, halo: int, run, block: int = 1024) -> DataFrame:
+    """``run(data, x0, y0)`` for each block of an n by n raster that holds or borders on a value.
+
+    ``data`` is the block with a halo around it, NaN where there is no value, and ``x0, y0`` its lowest cell; ``run``
+    gives rows ``(cx, cy, v)`` as arrays. A cell is sent to its own block and to those it is in the halo of.
+    """
+    top = -(-n // block) - 1
+    lo = lambda c: F.greatest(F.lit(0), F.floor((F.col(c) - halo) / block).cast("int"))
+    hi = lambda c: F.least(F.lit(top), F.floor((F.col(c) + halo) / block).cast("int"))
+    homes = raster.filter("v IS NOT NULL").select("cx", "cy", F.col("v").cast("double").alias("v"), F.explode(F.sequence(lo("cx"), hi("cx"))).alias("bx"), F.sequence(lo("cy"), hi("cy")).alias("bys"))
+    homes = homes.select("cx", "cy", "v", "bx", F.explode("bys").alias("by"))
+
+    def each(pdf: pd.DataFrame) -> pd.DataFrame:
+        x0, y0 = int(pdf["bx"].iloc[0]) * block, int(pdf["by"].iloc[0]) * block
+        data = np.full((min(block, n - y0) + 2 * halo, min(block, n - x0) + 2 * halo), np.nan)
+        data[pdf["cy"].to_numpy() - y0 + halo, pdf["cx"].to_numpy() - x0 + halo] = pdf["v"]
+        cx, cy, v = run(data, x0, y0)
+        return pd.DataFrame({"cx": cx.astype(np.int32), "cy": cy.astype(np.int32), "v": v})
+
+    return homes.groupBy("bx", "by").applyInPandas(each, "cx int, cy int, v double")
+
+
 def cosine_filter(raster: DataFrame, width: float, cell: float, n: int) -> DataFrame:
     """The mean over a disc of the given width, weighted ``1 + cos(pi d / r)``, over the cells that have a value."""
     r = width / 2
     k = int(r // cell)
     steps = [(dx, dy, 1 + math.cos(math.pi * math.hypot(dx, dy) * cell / r)) for dx in range(-k, k + 1) for dy in range(-k, k + 1) if math.hypot(dx, dy) * cell <= r]
-    arms = F.array(*(F.struct((F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy"), F.lit(w).alias("w")) for dx, dy, w in steps))
-    each = raster.filter("v IS NOT NULL").select(F.explode(arms).alias("a"), "v").select("a.*", "v").filter(F.col("cx").between(0, n - 1) & F.col("cy").between(0, n - 1) & (F.col("w") > 0))
-    return each.groupBy(*CELL).agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("v"))
+
+    def run(data, x0, y0):
+        rows, columns = data.shape[0] - 2 * k, data.shape[1] - 2 * k
+        there = ~np.isnan(data)
+        data = np.where(there, data, 0.0)
+        s, total = np.zeros((rows, columns)), np.zeros((rows, columns))
+        for dx, dy, w in steps:
+            if w > 0:
+                s += w * data[k + dy : k + dy + rows, k + dx : k + dx + columns]
+                total += w * there[k + dy : k + dy + rows, k + dx : k + dx + columns]
+        y, x = np.nonzero(total > 0)
+        return x + x0, y + y0, s[y, x] / total[y, x]
+
+    return blockwise(raster, n, k, run)
 
 
 def _cubic(t):
@@ -52,18 +92,33 @@ def _cubic(t):
 
 
 def resample(raster: DataFrame, factor: int, n: int) -> DataFrame:
-    """A coarse raster on cells ``factor`` times finer, by cubic convolution over the neighbours that have a value."""
-    spark = raster.sparkSession
-    fine = spark.range(n * n).select((F.col("id") % n).cast("int").alias("fx"), F.floor(F.col("id") / n).cast("int").alias("fy"))
-    out = fine
-    for c in "xy":
-        u = (F.col(f"f{c}") + 0.5) / factor - 0.5
-        base = F.floor(u).cast("int")
-        w = _cubic(u - base)
-        out = out.withColumn(f"a{c}", F.explode(F.array(*(F.struct((base + k - 1).alias("c"), w[k].alias("w")) for k in range(4)))))
-    out = out.select("fx", "fy", F.col("ax.c").alias("cx"), F.col("ay.c").alias("cy"), (F.col("ax.w") * F.col("ay.w")).alias("w"))
-    got = out.join(raster.filter("v IS NOT NULL"), CELL).groupBy("fx", "fy").agg(F.sum(F.col("w") * F.col("v")).alias("s"), F.sum("w").alias("w"))
-    return got.filter(F.abs("w") > 0.25).select(F.col("fx").alias("cx"), F.col("fy").alias("cy"), (F.col("s") / F.col("w")).alias("v"))
+    """A coarse raster on n by n cells ``factor`` times finer, by cubic convolution over the neighbours that have a value.
+
+    A cell whose neighbours with a value have a quarter of the weights or less has none.
+    """
+    m = -(-n // factor)
+
+    def along(first: int, cells: int):
+        """Of fine cells the second of their four coarse neighbours and the weights of all."""
+        u = (np.arange(first * factor, min(n, (first + cells) * factor)) + 0.5) / factor - 0.5
+        base = np.floor(u).astype(int)
+        return base, _cubic(u - base)
+
+    def run(data, x0, y0):
+        there = ~np.isnan(data)
+        data = np.where(there, data, 0.0)
+        (bx, wx), (by, wy) = along(x0, data.shape[1] - 4), along(y0, data.shape[0] - 4)
+        s, total = np.zeros((len(by), len(bx))), np.zeros((len(by), len(bx)))
+        for i in range(4):
+            for j in range(4):
+                at = np.ix_(by - y0 + 2 + i - 1, bx - x0 + 2 + j - 1)
+                w = wy[i][:, None] * wx[j][None, :]
+                s += w * data[at]
+                total += w * there[at]
+        y, x = np.nonzero(np.abs(total) > 0.25)
+        return x + x0 * factor, y + y0 * factor, s[y, x] / total[y, x]
+
+    return blockwise(raster, m, 2, run, max(4, 1024 // factor))
 
 
 def polar_forward(lon, lat, standard: float = -65.0):
@@ -175,50 +230,83 @@ def _between(far: np.ndarray, ys: np.ndarray, xs: np.ndarray, factor: int) -> np
 
 
 def surface(
-    cells: DataFrame, n: int, tension: float = 0.35, convergence: float = 0.01, rounds: int = 5000, upper: float | None = None, data_limits: bool = False, block: int = 192, halo: int = 32
-) -> DataFrame:
-    """A spline in tension through the cells ``(cx, cy, v)`` of an n by n grid, at every cell.
-
-    A grid no larger than a block is solved as one. A larger one is solved whole on cells coarse enough for one block,
-    then in blocks that overlap by a halo, so no group holds more than ``(block + 2 halo)**2`` cells; the coarse
-    surface is held at the outer edge of the halo, so far data count and blocks without data are covered. ``upper``
-    and ``data_limits`` (those of all data) bound the result.
+    cells: DataFrame, n: int, tension: float = 0.35, convergence: float = 0.01, rounds: int = 5000, upper: float | None = None, data_limits: bool = False, block: int = 192, halo: int = 32,
+    coarse: int = 512, sweeps: int = 10, settled: float = 1e-4,
+) -> DataFrame:
+    """A spline in tension through the cells ``(cx, cy, v)`` of an n by n grid, at every cell; no rows without data.
+
+    A grid no larger than a block is solved as one. A larger one is solved whole on no more than ``coarse`` cells a side,
+    its own or larger ones, then in blocks that overlap by a halo, so no group holds more than ``(block + 2 halo)**2``
+    cells. The outer edge of the halo is held at the coarse surface first, and then at what the neighbours have found
+    (alternating Schwarz), until no cell moves by more than ``settled`` times the range of the data, or ``sweeps`` times.
+    So far data count and blocks without data are covered; the result is that of the whole on grids of up to ``coarse``
+    cells a side, and nears it with each sweep beyond. ``upper`` and ``data_limits`` (those of all data) bound the result.
     """
-    blocks = -(-n // block)
+    blocks, factor = -(-n // block), -(-n // coarse)
+    spark = cells.sparkSession
+    data = cells.filter("v IS NOT NULL").select("cx", "cy", F.col("v").cast("double").alias("v"))
     lo = lambda c: F.greatest(F.lit(0), F.floor((F.col(c) - halo) / block).cast("int"))
     hi = lambda c: F.least(F.lit(blocks - 1), F.floor((F.col(c) + halo) / block).cast("int"))
-    homes = cells.filter("v IS NOT NULL").select("cx", "cy", F.col("v").cast("double").alias("v"), F.explode(F.sequence(lo("cx"), hi("cx"))).alias("bx"), F.sequence(lo("cy"), hi("cy")).alias("bys"))
-    homes = homes.select("cx", "cy", "v", "bx", F.explode("bys").alias("by"))
 
-    far = limits = None
+    def at_home(rows: DataFrame) -> DataFrame:
+        """Cells in their own block and in those whose halo they are in."""
+        return rows.withColumn("bx", F.explode(F.sequence(lo("cx"), hi("cx")))).withColumn("by", F.explode(F.sequence(lo("cy"), hi("cy"))))
+
+    homes = at_home(data).withColumn("edge", F.lit(False))
+    far = None
     if blocks > 1:
-        far = _coarse(cells, n, -(-n // block), tension, convergence, rounds)
+        data.persist()
+        far = _coarse(data, n, factor, tension, convergence, rounds)
         if far is not None:
-            every = cells.sparkSession.range(blocks * blocks).select((F.col("id") % blocks).cast("int").alias("bx"), F.floor(F.col("id") / blocks).cast("int").alias("by"))
+            every = spark.range(blocks * blocks).select((F.col("id") % blocks).cast("int").alias("bx"), F.floor(F.col("id") / blocks).cast("int").alias("by"), F.lit(False).alias("edge"))
             homes = homes.unionByName(every, allowMissingColumns=True)
-        if data_limits:
-            limits = tuple(cells.agg(F.min("v").cast("double"), F.max("v").cast("double")).first())
+    limits = data.agg(F.min("v"), F.max("v")).first() if data_limits or far is not None else (None, None)
+
+    def bounds(b: int) -> tuple[int, int]:
+        return max(0, b * block - halo), min(n, (b + 1) * block + halo)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         bx, by = int(pdf["bx"].iloc[0]), int(pdf["by"].iloc[0])
-        x0, y0 = max(0, bx * block - halo), max(0, by * block - halo)
-        x1, y1 = min(n, (bx + 1) * block + halo), min(n, (by + 1) * block + halo)
+        (x0, x1), (y0, y1) = bounds(bx), bounds(by)
         data = np.full((y1 - y0, x1 - x0), np.nan)
+
+        def put(rows):
+            data[rows["cy"].to_numpy(int) - y0, rows["cx"].to_numpy(int) - x0] = rows["v"]
+
         pdf = pdf[pdf["v"].notna()]
-        data[pdf["cy"].to_numpy(int) - y0, pdf["cx"].to_numpy(int) - x0] = pdf["v"]
-        low, high = limits or ((np.nanmin(data), np.nanmax(data)) if data_limits else (None, None))
-        if far is not None:
+        edges = pdf["edge"].astype(bool)
+        if edges.any():
+            put(pdf[edges])
+        elif far is not None:
             edge = np.zeros(data.shape, bool)  # two cells deep, but free where the grid ends
             edge[: 2 * (y0 > 0)] = edge[data.shape[0] - 2 * (y1 < n) :] = True
             edge[:, : 2 * (x0 > 0)] = edge[:, data.shape[1] - 2 * (x1 < n) :] = True
-            edge &= np.isnan(data)
-            data[edge] = _between(far, np.arange(y0, y1), np.arange(x0, x1), -(-n // block))[edge]
+            data[edge] = _between(far, np.arange(y0, y1), np.arange(x0, x1), factor)[edge]
+        put(pdf[~edges])
         z = solve(data, tension, convergence, rounds)
-        if data_limits:
-            z = np.clip(z, low, high)
-        if upper is not None:
-            z = np.minimum(z, upper)
         ys, xs = np.mgrid[max(y0, by * block) : min(n, (by + 1) * block), max(x0, bx * block) : min(n, (bx + 1) * block)]
         return pd.DataFrame({"cx": xs.ravel().astype(np.int32), "cy": ys.ravel().astype(np.int32), "v": z[ys.ravel() - y0, xs.ravel() - x0]})
 
-    return homes.groupBy("bx", "by").applyInPandas(run, "cx int, cy int, v double")
+    def swept(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("bx", "by").applyInPandas(run, "cx int, cy int, v double")
+
+    out = swept(homes)
+    if far is not None:
+        out = kept(out)
+        low = lambda b: F.greatest(F.lit(0), F.col(b) * block - halo)
+        high = lambda b: F.least(F.lit(n), (F.col(b) + 1) * block + halo)
+        rim = lambda c, b: ((low(b) > 0) & (F.col(c) < low(b) + 2)) | ((high(b) < n) & (F.col(c) >= high(b) - 2))
+        for _ in range(sweeps):
+            edges = at_home(out).filter(rim("cx", "bx") | rim("cy", "by")).withColumn("edge", F.lit(True))
+            new = kept(swept(homes.unionByName(edges)))
+            moved = new.join(out.withColumnRenamed("v", "old"), CELL).agg(F.max(F.abs(F.col("v") - F.col("old")))).first()[0]
+            out = new
+            if moved <= settled * max(limits[1] - limits[0], 1e-12):
+                break
+        data.unpersist()
+    v = F.col("v")
+    if data_limits:
+        v = F.least(F.greatest(v, F.lit(limits[0])), F.lit(limits[1])) if limits[0] is not None else v
+    if upper is not None:
+        v = F.least(v, F.lit(float(upper)))
+    return out.withColumn("v", v)

@@ -13,20 +13,17 @@ MAX_DEPTH = 11_000
 def parsed(lines: DataFrame) -> DataFrame:
     """Rows ``(file, line_no, value)`` with x, y, z and why a line is rejected (null for a good one).
 
-    One projection: no shuffle. The depth limit is tested before z loses its fraction.
+    No shuffle. Fields and numbers pass through a Generate of one row each, so that a filter on what is made of them
+    isn't pushed below and every pattern is matched once for a line. The depth limit is tested before z loses its
+    fraction.
     """
-    tokens = T.fields(F.col("value"))
-    read = lines.withColumn("_t", tokens)
-    for i, c in enumerate("xyz", 1):
-        read = read.withColumn(f"_{c}", T.number(F.try_element_at("_t", F.lit(i))))
-    reason = (
-        F.when(F.size("_t") < 3, "fields")
-        .when(F.col("_x").isNull() | F.col("_y").isNull() | F.col("_z").isNull(), "number")
-        .when(F.abs("_z") > MAX_DEPTH, "depth")
-    )
-    return read.select(
-        "file", "line_no", "value", *(F.when(reason.isNull(), (-F.abs("_z") if c == "z" else F.col(f"_{c}")).cast("long")).alias(c) for c in "xyz"), reason.alias("reason")
-    )
+    once = lambda c: F.explode(F.array(c))
+    read = lines.select("file", "line_no", "value", once(T.fields(F.col("value"))).alias("_t"))
+    numbers = F.struct(F.size("_t").alias("n"), *(T.number(F.try_element_at("_t", F.lit(i))).alias(c) for i, c in enumerate("xyz", 1)))
+    read = read.select("file", "line_no", "value", once(numbers).alias("_n"))
+    x, y, z = (F.col(f"_n.{c}") for c in "xyz")
+    reason = F.when(F.col("_n.n") < 3, "fields").when(x.isNull() | y.isNull() | z.isNull(), "number").when(F.abs(z) > MAX_DEPTH, "depth")
+    return read.select("file", "line_no", "value", *(F.when(reason.isNull(), v.cast("long")).alias(c) for c, v in zip("xyz", (x, y, -F.abs(z)))), reason.alias("reason"))
 
 
 def soundings(lines: DataFrame) -> DataFrame:

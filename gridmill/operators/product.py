@@ -37,8 +37,7 @@ def blended(zones: DataFrame, data: DataFrame, background: DataFrame, smooth: bo
     """Background outside the coverage, data inside, and in the zone between them both by their weights."""
     z = weights(zones, smooth)
     z = z.join(data.select(*CELL, F.col("v").alias("_d")), CELL, "left").join(background.select(*CELL, F.col("v").alias("_b")), CELL, "left")
-    v = F.when(F.col("zone") == 1, combined("wi", "wo", "_d", "_b")).when(F.col("grown") == 0, F.col("_b")).otherwise(F.col("_d"))
-    return z.select(*CELL, v.cast("double").alias("v"))
+    return z.select(*CELL, _by_zone("_d", "_b").alias("v"))
 
 
 def filled(zones: DataFrame, sharp: DataFrame, coarse: DataFrame, footprint: dict[int, int], n: int, smooth: bool = False) -> DataFrame:
@@ -57,6 +56,40 @@ def blend(mask: DataFrame, sharp: DataFrame, coarse: DataFrame, buffer: int, n:
     return blended(z, data, coarse, smooth)
 
 
+STATISTICS = ("median", "q25", "q75", "min", "max")
+
+
+def blend_all(
+    mask: DataFrame, sharp: DataFrame, coarse: DataFrame, buffer: int, n: int, smooth: bool = True, percentage: float = 0.2, statistics: tuple[str, ...] = STATISTICS
+) -> DataFrame:
+    """``cx cy`` and a column for each statistic, blended as ``blend`` does; the rasters have a column for each too.
+
+    Zones and distances are the same for all and computed once.
+    """
+    z = M.zones(mask, buffer, n, smooth, percentage)
+    out = weights(z, smooth)
+    pick = lambda r, c: r.select(*CELL, F.col(c).alias("v"))
+    for s in statistics:
+        data = filled(z, pick(sharp, s), pick(coarse, s), M.disc(buffer), n, smooth)
+        out = out.join(data.select(*CELL, F.col("v").alias(f"_d_{s}")), CELL, "left").join(coarse.select(*CELL, F.col(s).alias(f"_b_{s}")), CELL, "left")
+    return out.select(*CELL, *(_by_zone(f"_d_{s}", f"_b_{s}").alias(s) for s in statistics))
+
+
+def _by_zone(data: str, background: str) -> Column:
+    v = F.when(F.col("zone") == 1, combined("wi", "wo", data, background)).when(F.col("grown") == 0, F.col(background)).otherwise(F.col(data))
+    return v.cast("double")
+
+
+def interpolated(
+    cells: DataFrame, n: int, factor: int = 4, cell: float = 2000.0, tension: float = 0.35, convergence: float = 0.01, rounds: int = 5000, upper: float = 1420.0, width: float = 6_000.0,
+    window: tuple[int, int, int, int] | None = None,
+) -> DataFrame:
+    """The interpolated product of medians on n by n cells: a surface, smoothed, on cells ``factor`` times finer, cut to a window ``(x0, x1, y0, y1)`` of these."""
+    raw = G.surface(cells, n, tension, convergence, rounds, upper)
+    fine = G.resample(G.cosine_filter(raw, width, cell, n), factor, n * factor)
+    return fine if window is None else R.cut(fine, *window)
+
+
 def gap_fill(
     composite: DataFrame, background: DataFrame, mask: DataFrame, n: int, cell: float = 500.0, block: int = 4, buffer: int = 20, allowed: DataFrame | None = None, clean: bool = True
 ) -> DataFrame:

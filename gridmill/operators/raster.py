@@ -97,6 +97,12 @@ def cells_per_rid(rids: DataFrame, lowest: int = 10_000, ocean: DataFrame | None
     return r.groupBy(F.col("v").alias("rid")).agg(F.count("*").alias("n_cells"))
 
 
+def data_cells(rids: DataFrame, lowest: int = 10_000, ocean: DataFrame | None = None) -> DataFrame:
+    """How many cells hold data, and of how many datasets."""
+    c = cells_per_rid(rids, lowest, ocean)
+    return c.agg(F.coalesce(F.sum("n_cells"), F.lit(0)).alias("n_cells"), F.count("*").alias("n_rids"))
+
+
 def pyramid(raster: DataFrame, levels: int) -> DataFrame:
     """Means of 2 by 2, 4 by 4 and so on, each of the level below it."""
     out, level = None, raster.select(*CELL, F.col("v").cast("double").alias("v"))

@@ -65,6 +65,12 @@ def extents(points: DataFrame, *keys: str) -> DataFrame:
     return points.groupBy(*keys).agg(*(f(c).alias(f"{c}{n}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))))
 
 
+def extents_of_splits(splits: DataFrame) -> DataFrame:
+    """The extents of each dataset from those of its splits, and the mean of the times at which they were tiled."""
+    ends = [f(c + e).alias(c + e) for c in "xyz" for e, f in (("min", F.min), ("max", F.max))]
+    return splits.groupBy("rid").agg(*ends, F.avg("time_tiling").alias("time_tiling"))
+
+
 def rids_by_tile(points: DataFrame) -> DataFrame:
     """The datasets of each tile as a list in text, and how many they are. Partial sets are merged, so a shuffle row is a tile's set and not a point."""
     pairs = points.select("tile_id", "basic_tile", "rid").distinct()

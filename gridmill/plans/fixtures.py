@@ -40,6 +40,13 @@ BASE = {
     "ice": "SELECT cx, cy, CASE WHEN cx < 20 AND cy < 20 THEN 100 + cx + cy ELSE 0 END AS v FROM cells",
     "report": """SELECT CASE WHEN event_id % 11 = 0 THEN 'noise' ELSE concat('CSVLINE ', event_type, ' ', CAST(user_id AS STRING), ' ', CAST(event_id AS STRING), ' 9 me mini ',
         CAST(1000 * event_id AS STRING), ' ', CAST(7 * event_id AS STRING), ' ', CAST(7 * event_id + CAST(floor(value) AS BIGINT) AS STRING)) END AS value FROM events""",
+    "static_lines": """SELECT concat('static/', CASE WHEN rid % 5 = 0 THEN 'unknown' ELSE dataset_name END, '.xyz') AS file,
+        concat(CAST(x AS STRING), CASE WHEN l_orderkey % 3 = 0 THEN '.5,' ELSE ' ' END, CAST(y AS STRING), chr(9), CAST(z AS STRING), CASE WHEN l_orderkey % 2 = 0 THEN '.5' ELSE '.25' END, CASE WHEN l_orderkey % 101 = 0 THEN 'x' ELSE '' END) AS value
+        FROM soundings JOIN metadata ON rid = dataset_rid WHERE l_linenumber = 1""",
+    "steering_table": "SELECT dataset_rid - 9000 AS dataset_rid, dataset_name, dataset_tid FROM metadata WHERE dataset_rid - 9000 < 10000",
+    "splits": """SELECT rid, l_orderkey % 3 AS part, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax, min(z) AS zmin, max(z) AS zmax, max(l_orderkey) + 0.5 AS time_tiling FROM soundings GROUP BY rid, l_orderkey % 3""",
+    "tile_files": "SELECT ID AS tile_id, 'low' AS type, CAST(1000 * ID + 24 AS BIGINT) AS bytes, CAST(7 * ID AS BIGINT) AS modified FROM tiles WHERE ID % 5 <> 0",
+    "dated": """SELECT dataset_rid, dataset_name, weight, CAST('2020-01-02' AS DATE) AS date_harmonised, CASE WHEN dataset_rid % 2 = 0 THEN CAST('2021-03-04' AS DATE) END AS date_tiled FROM metadata""",
     "clean": "SELECT x, y, -abs(z) AS z, rid, weight, l_orderkey, l_linenumber FROM soundings WHERE abs(z) <= 11000",
     "used": "SELECT clean.* FROM clean WHERE rid IN (SELECT dataset_rid FROM metadata WHERE include = 1)",
 }
@@ -55,6 +62,11 @@ DUCK = {
         min(z) FILTER (WHERE cw * 2 >= tw) med, min(z) FILTER (WHERE cw * 4 >= tw * 3) q75, max(z) mx, CAST(sum(weight) AS BIGINT) sw, count(*) n FROM running GROUP BY cx, cy)""",
     "product": """SELECT s.x, s.y, s.rid, mn AS "min", q25, med AS "median", q75, mx AS "max", sw AS sum_weight, coalesce(dataset_name, '0') AS data_name, coalesce(dataset_tid, 0) AS tid, coalesce(contrib_org, '0') AS contrib_org,
         coalesce(m.weight, 0) AS dataset_weight FROM stats s LEFT JOIN metadata m ON s.rid = m.dataset_rid""",
+    "running_high": "SELECT *, sum(weight) OVER (PARTITION BY cx, cy ORDER BY z, x, y, rid ROWS UNBOUNDED PRECEDING) cw, sum(weight) OVER (PARTITION BY cx, cy) tw FROM celled WHERE weight IN (15, 20, 25, 30)",
+    "stats_high": """SELECT cx, cy, m.x AS x, m.y AS y, m.rid AS rid, mn, q25, med, q75, mx, sw, n FROM (SELECT cx, cy, min({'z': z, 'x': x, 'y': y, 'rid': rid}) FILTER (WHERE cw * 2 >= tw) m, min(z) mn, min(z) FILTER (WHERE cw * 4 >= tw) q25,
+        min(z) FILTER (WHERE cw * 2 >= tw) med, min(z) FILTER (WHERE cw * 4 >= tw * 3) q75, max(z) mx, CAST(sum(weight) AS BIGINT) sw, count(*) n FROM running_high GROUP BY cx, cy)""",
+    "static_points": """SELECT x, y, z, rid, tid FROM (SELECT CAST(round_even(TRY_CAST(f[1] AS DOUBLE), 0) AS BIGINT) x, CAST(round_even(TRY_CAST(f[2] AS DOUBLE), 0) AS BIGINT) y, CAST(round_even(TRY_CAST(f[3] AS DOUBLE), 0) AS BIGINT) z, dataset_rid AS rid, dataset_tid AS tid
+        FROM (SELECT string_split(trim(regexp_replace(value, '[,\\s]+', ' ', 'g')), ' ') f, regexp_replace(string_split(file, '/')[-1], '\\.[^.]*$', '') AS dataset_name FROM static_lines) JOIN steering_table USING (dataset_name)) WHERE x IS NOT NULL AND y IS NOT NULL AND z IS NOT NULL""",
     "composite": "SELECT cx, cy, med AS v FROM stats",
     "rids": "SELECT cx, cy, rid AS v FROM stats",
     "mask": "SELECT cx, cy, CASE WHEN cx % 24 < 14 AND cy % 24 < 15 AND NOT (cx % 24 = 5 AND cy % 24 = 5) AND (cx + cy) % 31 <> 0 THEN 1 ELSE 0 END AS m FROM cells",

@@ -80,6 +80,33 @@ def source_points(i):
     return files.read_points(i.spark, path)
 
 
+_MIXED = r"""(SELECT file, value, string_split_regex(value, '[,;\t\s+]') f FROM raw_lines WHERE trim(value) <> '')"""
+
+
+@query(f"SELECT file, TRY_CAST(nullif(f[1], '') AS FLOAT) AS x, TRY_CAST(nullif(f[2], '') AS FLOAT) AS y, TRY_CAST(nullif(f[3], '') AS FLOAT) AS z FROM {_MIXED} WHERE len(f) <= 3 AND NOT coalesce(list_bool_or([x <> '' AND TRY_CAST(x AS FLOAT) IS NULL for x in f]), false)")
+def source_mixed_points(i):
+    return files.scan_points(i.raw_lines)[0]
+
+
+@query(f"SELECT file, value FROM {_MIXED} WHERE len(f) > 3 OR coalesce(list_bool_or([x <> '' AND TRY_CAST(x AS FLOAT) IS NULL for x in f]), false)")
+def source_skipped_lines(i):
+    return files.scan_points(i.raw_lines)[1]
+
+
+@query("SELECT * FROM metadata")
+def source_sniffed(i):
+    path = files.scratch(i.spark)
+    files.write_table(i.metadata, path, ",")
+    return files.sniffed(i.spark, path, files.METADATA)
+
+
+@query("SELECT name, value FROM (VALUES ('nodata', '-32768'), ('title', 'bed'), ('units', 'm')) v(name, value)")
+def source_raster_about(i):
+    path = files.scratch(i.spark)
+    files.write_raster(i.background, path, 48, units="m", title="bed", nodata=-32768)
+    return files.about(files.read_raster(i.spark, path))
+
+
 @query("SELECT * FROM metadata")
 def source_table(i):
     path = files.scratch(i.spark)
@@ -128,6 +155,27 @@ def tile_extents(i):
     return tiling.extents(tiling.tiled(i.used, SMALL), "rid")
 
 
+@query("SELECT rid, min(xmin) AS xmin, max(xmax) AS xmax, min(ymin) AS ymin, max(ymax) AS ymax, min(zmin) AS zmin, max(zmax) AS zmax, round(avg(CAST(time_tiling AS DOUBLE)), 6) AS time_tiling FROM splits GROUP BY rid")
+def tile_extents_of_splits(i):
+    return tiling.extents_of_splits(i.splits.withColumn("time_tiling", F.col("time_tiling").cast("double"))).withColumn("time_tiling", F.round("time_tiling", 6))
+
+
+@query("""SELECT value, count(*) AS n FROM (SELECT concat_ws(' ', x, y, z, rid, CASE WHEN tx BETWEEN 0 AND 5 AND ty BETWEEN 0 AND 5 THEN concat_ws(' ', 1 + tx + 6 * ty, 1 + tx // 3 + 2 * (ty // 3)) END) AS value FROM
+  (SELECT *, CAST(CASE WHEN x = -24000 THEN 0 ELSE ceil((x + 24000) / 8000.0) - 1 END AS BIGINT) tx, CAST(CASE WHEN y = -24000 THEN 0 ELSE ceil((y + 24000) / 8000.0) - 1 END AS BIGINT) ty FROM (SELECT x, y, -abs(z) z, rid FROM soundings))
+  WHERE NOT (tx BETWEEN 0 AND 5 AND ty BETWEEN 0 AND 5) OR z <= -9999) GROUP BY value""")
+def tile_reject_files(i):
+    path = files.scratch(i.spark)
+    files.write_rejects(tiling.tile_rejects(i.soundings.withColumn("z", -F.abs("z")), SMALL), path)
+    return i.spark.read.text(path).groupBy("value").agg(F.count("*").alias("n"))
+
+
+@query("SELECT DISTINCT CAST(tile_id AS BIGINT) AS tile_id FROM tiled")
+def tile_unique_files(i):
+    path = files.scratch(i.spark)
+    files.write_numbers(tiling.unique_tiles(tiling.tiled(i.used, SMALL)).select("tile_id"), path)
+    return i.spark.read.csv(path, schema="tile_id long")
+
+
 _RIDS = "(SELECT tile_id, basic_tile, string_agg(rid, ';' ORDER BY rid) AS cruises, count(*) AS n_cruises FROM (SELECT DISTINCT tile_id, basic_tile, rid FROM tiled) GROUP BY tile_id, basic_tile)"
 
 
@@ -188,22 +236,50 @@ def block_long_columns(i):
     return blocks.long_columns(blocks.augmented(i.stats, i.metadata))
 
 
-_STATIC = "(SELECT x, y, CAST(round(z / 3.0) AS BIGINT) z, l_orderkey, l_linenumber FROM soundings WHERE l_linenumber = 1)"
+@query("SELECT x, y, z, rid, tid FROM static_points")
+def block_steering(i):
+    """Static points from their files: separators, rounding, and the dataset of the file's name."""
+    return blocks.steering(i.static_lines, i.steering_table)
 
 
-@query(f"""SELECT cx, cy, min(z) FILTER (WHERE cw * 2 >= tw) AS "median", count(*) AS n FROM (SELECT cx, cy, z, count(*) OVER (PARTITION BY cx, cy ORDER BY z, x, y ROWS UNBOUNDED PRECEDING) cw, count(*) OVER (PARTITION BY cx, cy) tw
-  FROM (SELECT *, CAST(floor((x + 24000) / 500.0) AS INT) cx, CAST(floor((y + 24000) / 500.0) AS INT) cy FROM {_STATIC} WHERE z < 1420 AND x >= -24000 AND x < 24000 AND y >= -24000 AND y < 24000)) GROUP BY cx, cy""")
+@query("""SELECT cx, cy, m.x AS x, m.y AS y, m.rid AS rid, m.z AS "median", n FROM (SELECT cx, cy, min({'z': z, 'x': x, 'y': y, 'rid': rid}) FILTER (WHERE cw * 2 >= tw) m, count(*) AS n FROM (SELECT *, count(*) OVER (PARTITION BY cx, cy ORDER BY z, x, y, rid ROWS UNBOUNDED PRECEDING) cw, count(*) OVER (PARTITION BY cx, cy) tw
+  FROM (SELECT *, CAST(floor((x + 24000) / 500.0) AS INT) cx, CAST(floor((y + 24000) / 500.0) AS INT) cy FROM static_points WHERE z < 1420 AND x >= -24000 AND x < 24000 AND y >= -24000 AND y < 24000)) GROUP BY cx, cy)""")
 def block_static(i):
-    """Static points: rounded, below the surface limit, unweighted medians."""
-    p = i.soundings.filter("l_linenumber = 1").withColumn("z", F.round(F.col("z") / 3).cast("long")).filter("z < 1420")
-    return blocks.cell_stats(p.withColumn("weight", F.lit(1)).withColumn("rid", F.lit(401)), SMALL).select("cx", "cy", "median", "n")
+    """Static points below the surface limit, unweighted medians."""
+    return blocks.static_medians(blocks.surface_points(blocks.steering(i.static_lines, i.steering_table)), SMALL)
 
 
-@query("SELECT s.rid, s.cx, s.cy, coalesce(dataset_name, '0') AS name, coalesce(dataset_tid, 0) AS tid FROM (SELECT cx, cy, CASE WHEN rid % 7 = 0 THEN 1 ELSE rid END rid FROM stats) s LEFT JOIN metadata ON s.rid = dataset_rid")
+@query("""SELECT s.x, s.y, s.rid, mn AS "min", q25, med AS "median", q75, mx AS "max", sw AS sum_weight, coalesce(dataset_name, '0') AS data_name, coalesce(dataset_tid, 0) AS tid, coalesce(contrib_org, '0') AS contrib_org, coalesce(m.weight, 0) AS dataset_weight
+  FROM (SELECT * REPLACE (CASE WHEN rid % 7 = 0 THEN 1 ELSE rid END AS rid) FROM stats) s LEFT JOIN metadata m ON s.rid = dataset_rid""")
 def block_lookup_default(i):
-    s = i.stats.withColumn("rid", F.when(F.col("rid") % 7 == 0, 1).otherwise(F.col("rid")))
-    j = s.join(i.metadata, s["rid"] == F.col("dataset_rid"), "left")
-    return j.select(s["rid"], "cx", "cy", F.coalesce("dataset_name", F.lit("0")).alias("name"), F.coalesce("dataset_tid", F.lit(0)).alias("tid"))
+    """Cells of unknown datasets get the defaults."""
+    return blocks.augmented(i.stats.withColumn("rid", F.when(F.col("rid") % 7 == 0, 1).otherwise(F.col("rid"))), i.metadata)
+
+
+def _summary(stats: str, kind: str) -> str:
+    return f"""(SELECT tile_id, basic_tile, '{kind}' AS type, count(*) AS bm_windows, string_agg(DISTINCT rid, ';' ORDER BY rid) AS cruises, count(DISTINCT rid) AS n_cruises, min(x) AS xmin, max(x) AS xmax, min(y) AS ymin, max(y) AS ymax, min(med) AS zmin, max(med) AS zmax
+  FROM (SELECT *, CAST(1 + tx + 6 * ty AS INT) tile_id, CAST(1 + tx // 3 + 2 * (ty // 3) AS INT) basic_tile FROM (SELECT *, CAST(CASE WHEN x = -24000 THEN 0 ELSE ceil((x + 24000) / 8000.0) - 1 END AS BIGINT) tx, CAST(CASE WHEN y = -24000 THEN 0 ELSE ceil((y + 24000) / 8000.0) - 1 END AS BIGINT) ty FROM {stats})) GROUP BY tile_id, basic_tile)"""
+
+
+@query(f"SELECT * FROM {_summary('stats_high', 'high')}")
+def block_tile_summary_high(i):
+    return blocks.by_tile(blocks.cell_stats(blocks.high_resolution(i.used), SMALL), SMALL, "high")
+
+
+@query(f"SELECT s.*, round(bytes / 1024 / 1024, 9) AS mb, CAST(modified AS DOUBLE) AS modified FROM {_summary('stats', 'low')} s LEFT JOIN tile_files USING (tile_id, type)")
+def block_summary_files(i):
+    s = blocks.with_files(blocks.by_tile(i.stats, SMALL, "low"), i.tile_files)
+    return s.withColumn("mb", F.round("mb", 9)).withColumn("modified", F.col("modified").cast("double"))
+
+
+@query("SELECT x, y, unnest(['data_name', 'contrib_org']) AS attribute, unnest([data_name, contrib_org]) AS value FROM product")
+def block_long_texts(i):
+    return blocks.long_texts(blocks.augmented(i.stats, i.metadata))
+
+
+@query('SELECT x, y, q75 AS "value" FROM stats_high')
+def block_column_high(i):
+    return blocks.column(blocks.cell_stats(blocks.high_resolution(i.used), SMALL), "q75")
 
 
 _FILES = "(SELECT rid, max(CASE WHEN rid % 8 = 3 THEN weight + 1 ELSE weight END) weight FROM soundings GROUP BY rid UNION ALL SELECT 7, 5)"
@@ -240,6 +316,46 @@ def catalog_lookup(i):
     return catalog.looked_up(names, i.metadata).withColumn("rid", F.col("rid").cast("double"))
 
 
+@query("SELECT file, CAST(dataset_rid AS DOUBLE) AS rid, CAST(dataset_tid AS DOUBLE) AS tid FROM (SELECT DISTINCT file FROM static_lines) LEFT JOIN steering_table ON regexp_replace(string_split(file, '/')[-1], '\\.[^.]*$', '') = dataset_name")
+def catalog_lookup_static(i):
+    got = catalog.looked_up_static(i.static_lines.select("file").distinct(), i.steering_table)
+    return got.select("file", F.col("rid").cast("double").alias("rid"), F.col("tid").cast("double").alias("tid"))
+
+
+_DELIVERED = "(SELECT 'in/' || dataset_name AS file FROM metadata WHERE dataset_rid % 3 = 0 UNION ALL SELECT 'in/stranger')"
+
+
+def _delivered(i):
+    return i.metadata.filter("dataset_rid % 3 = 0").select(F.concat(F.lit("in/"), "dataset_name").alias("file")).unionByName(i.spark.createDataFrame([("in/stranger",)], "file string"))
+
+
+@query("SELECT dataset_rid, dataset_name, weight, CASE WHEN dataset_rid % 3 <> 0 THEN CAST(date_harmonised AS VARCHAR) END AS date_harmonised, CASE WHEN dataset_rid % 3 <> 0 THEN CAST(date_tiled AS VARCHAR) END AS date_tiled FROM dated")
+def catalog_redelivered(i):
+    return catalog.redelivered(i.dated, _delivered(i))[0].withColumns({c: F.col(c).cast("string") for c in ("date_harmonised", "date_tiled")})
+
+
+@query("SELECT 'stranger' AS file")
+def catalog_strangers(i):
+    return catalog.redelivered(i.dated, _delivered(i))[1]
+
+
+@query("SELECT dataset_rid, dataset_name, CAST(CASE WHEN dataset_rid % 4 = 0 THEN 99 ELSE weight END AS INTEGER) AS weight FROM metadata UNION ALL SELECT 7, 'new', 5")
+def catalog_replaced(i):
+    m = i.metadata.select("dataset_rid", "dataset_name", "weight")
+    new = m.filter("dataset_rid % 4 = 0").withColumn("weight", F.lit(99)).unionByName(i.spark.createDataFrame([(7, "new", 5)], "dataset_rid long, dataset_name string, weight int"))
+    return catalog.replaced(m, new, "dataset_rid")
+
+
+@query("SELECT dataset_rid, dataset_name, dataset_tid, contrib_org, weight FROM metadata")
+def catalog_rid_lookup(i):
+    return catalog.views(i.metadata, i.tiles)["rid_lookup"]
+
+
+@query("SELECT DISTINCT ID, basicTile FROM tiles")
+def catalog_unique_tiles(i):
+    return catalog.views(i.metadata, i.tiles)["unique_tiles"]
+
+
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN c_name END AS name, c_mktsegment AS segment FROM customer")
 def catalog_curated(i):
     dirty = F.when(F.col("c_custkey") % 3 == 0, F.element_at(F.array(F.lit(" "), F.lit('""'), F.lit("''"), F.lit("\t")), (F.col("c_custkey") % 4 + 1).cast("int"))).when(F.col("c_custkey") % 3 == 1, F.concat(F.lit(" \t"), "c_name", F.lit("\r\n ")))
@@ -361,6 +477,16 @@ def raster_cells_per_rid(i):
     return raster.cells_per_rid(i.rids)
 
 
+@query("SELECT v AS rid, count(*) AS n_cells FROM rids JOIN mask USING (cx, cy) WHERE v >= 10000 AND m = 1 GROUP BY v")
+def raster_cells_per_rid_ocean(i):
+    return raster.cells_per_rid(i.rids, ocean=i.mask)
+
+
+@query("SELECT count(*) AS n_cells, count(DISTINCT v) AS n_rids FROM rids WHERE v >= 10000")
+def raster_data_cells(i):
+    return raster.data_cells(i.rids)
+
+
 @query("""SELECT cx, cy, round(v, 6) AS v, CAST(level AS INTEGER) AS level FROM (WITH a AS (SELECT cx // 2 cx, cy // 2 cy, avg(CAST(v AS DOUBLE)) v FROM composite GROUP BY ALL), b AS (SELECT cx // 2 cx, cy // 2 cy, avg(v) v FROM a GROUP BY ALL)
   SELECT *, 1 AS level FROM a UNION ALL SELECT *, 2 FROM b UNION ALL SELECT cx // 2, cy // 2, avg(v), 3 FROM b GROUP BY ALL)""")
 def raster_pyramid(i):
@@ -431,6 +557,16 @@ def compare_moving(i):
     return compare.moving(_pair(i), 5, 5, "cy").select("cx", "cy", "mean")
 
 
+@query("SELECT row_number() OVER (ORDER BY x, y) - 1 AS seq, x, round(avg(y) OVER (ORDER BY x, y ROWS BETWEEN 50 PRECEDING AND 50 FOLLOWING), 6) AS mean FROM (SELECT b.v AS x, c.v AS y FROM background b JOIN composite c USING (cx, cy))")
+def compare_moving_sorted(i):
+    return compare.moving_sorted(compare.pairs(i.background, i.composite), 50, 50)
+
+
+@query(f"SELECT CAST(b AS INTEGER) AS bin, -6000 + (b - 0.5) * 300.0 AS middle, round(n / (SELECT count(*) FROM {_PAIR}) / 300.0, 12) AS density FROM (SELECT floor((y + 6000) / 300) + 1 AS b, count(*) AS n FROM {_PAIR} WHERE y >= -6000 AND y < 0 GROUP BY 1)")
+def compare_density(i):
+    return compare.density(_pair(i), "y", -6000, 0, 20)
+
+
 @query(f"SELECT CAST(CASE WHEN y < -6000 THEN 0 WHEN y >= 0 THEN 21 ELSE floor((y + 6000) / 300) + 1 END AS INTEGER) AS bin, count(*) AS n FROM {_PAIR} GROUP BY 1")
 def compare_histogram(i):
     return compare.histogram(_pair(i), "y", -6000, 0, 20)
@@ -523,6 +659,27 @@ def product_blend(i):
     return product.blend(i.mask, i.sharp, i.background, 3, N, smooth=True, percentage=0.2).withColumn("v", F.round("v", 4))
 
 
+def _all_statistics() -> str:
+    """The blend's SQL for each statistic in turn, side by side."""
+    parts = []
+    for name, column in (("median", "med"), ("q25", "q25"), ("q75", "q75"), ("min", "mn"), ("max", "mx")):
+        one = SQL["product_blend"].replace("composite AS (SELECT cx, cy, med AS v FROM stats)", f"composite AS (SELECT cx, cy, {column} AS v FROM stats)")
+        parts.append(f"SELECT '{name}' AS statistic, * FROM ({one})")
+    return " UNION ALL ".join(parts)
+
+
+@query()
+def product_blend_all(i):
+    """All five statistics over one set of zones and distances."""
+    sharp = i.background.select("cx", "cy", F.col("v").alias("b")).join(i.stats.select("cx", "cy", *product.STATISTICS), ["cx", "cy"], "left").select("cx", "cy", *(F.coalesce(c, "b").alias(c) for c in product.STATISTICS))
+    coarse = i.background.select("cx", "cy", *(F.col("v").alias(c) for c in product.STATISTICS))
+    b = product.blend_all(i.mask, sharp, coarse, 3, N)
+    return b.unpivot(["cx", "cy"], list(product.STATISTICS), "statistic", "v").withColumn("v", F.round("v", 4))
+
+
+SQL["product_blend_all"] = _all_statistics()
+
+
 @query("""SELECT cx, cy, round(v, 6) AS v FROM (SELECT cx, cy, count(*) n, sum(z / (1 + 9 * d2 / 1e6)) / sum(1 / (1 + 9 * d2 / 1e6)) v FROM (SELECT cx, cy, s, min({'d2': d2, 'z': z}).d2 d2, min({'d2': d2, 'z': z}).z z FROM (
   SELECT cx, cy, z, (x - px) ** 2 + (y - py) ** 2 d2, CASE WHEN x >= px THEN CASE WHEN y >= py THEN 0 ELSE 3 END WHEN y >= py THEN 1 ELSE 2 END s FROM (SELECT cx, cy, cx * 500 - 23750 px, cy * 500 - 23750 py FROM cells) JOIN used ON x BETWEEN px - 1000 AND px + 1000 AND y BETWEEN py - 1000 AND py + 1000)
   WHERE d2 <= 1e6 GROUP BY cx, cy, s) GROUP BY cx, cy) WHERE n >= 4""")
@@ -558,6 +715,12 @@ def grid_surface(i):
     return gridding.surface(raster.coarse_median(i.composite, 4), N // 4, upper=1420).withColumn("v", F.round("v", 3))
 
 
+@query()
+def product_interpolated(i):
+    """The interpolated product: surface, filter, finer cells, cut."""
+    return product.interpolated(raster.coarse_median(i.composite, 4), N // 4, window=(8, 87, 8, 87)).withColumn("v", F.round("v", 3))
+
+
 @query()
 def product_gap_fill(i):
     masked = raster.aligned("inner", v=i.composite, m=i.mask).filter("m = 1").select("cx", "cy", "v")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gridmill.config import SMALL, Grid
 from gridmill.operators import blocks, catalog, compare, gridding, ingest, morphology, product, raster, tiling
 from gridmill.plans.fixtures import N, Inputs
+from gridmill.sources import files
 
 from .conftest import SF
 
@@ -155,16 +156,27 @@ def test_surface_honours_data():
     assert np.abs(z - (3.0 * xx - 2.0 * yy)).max() < 0.05  # a plane has no curvature
 
 
+def surfaces(spark, n, points, *sizes, **how):
+    cells = spark.createDataFrame([(x, y, v) for (x, y), v in {(x, y): v for x, y, v in points}.items()], "cx int, cy int, v double")
+    for size in sizes:
+        got = gridding.surface(cells, n, **size, **how).toPandas().set_index(["cx", "cy"])["v"]
+        assert len(got) == n * n and got.index.is_unique
+        yield got
+
+
+def test_surface_does_not_depend_on_blocks(spark):
+    rng = np.random.default_rng(1)
+    points = [(int(x), int(y), float(rng.normal() * 20)) for x, y in rng.integers(0, 20, (60, 2))]  # all in one corner
+    whole, cut = surfaces(spark, 64, points, {"block": 64}, {"block": 16, "halo": 4}, convergence=1e-4)
+    assert (whole - cut).abs().max() < 1e-3
+
+
 def test_surface_in_blocks(spark):
     n = 200
     points = [(int(x), int(y), float(50 * math.sin(x / 30) + y / 2)) for x, y in np.random.default_rng(3).integers(0, [100, n], (300, 2))]
-    cells = spark.createDataFrame([(x, y, v) for (x, y), v in {(x, y): v for x, y, v in points}.items()], "cx int, cy int, v double")
-    whole = gridding.surface(cells, n, block=n, data_limits=True).toPandas().set_index(["cx", "cy"])["v"]
-    for block in (192, 48):
-        got = gridding.surface(cells, n, block=block, data_limits=True).toPandas().set_index(["cx", "cy"])["v"]
-        assert len(got) == n * n and got.index.is_unique
-        off = (got - whole).abs()
-        assert off.mean() < 0.5 and off.max() < 1  # the values span more than 100
+    whole, cut, swept = surfaces(spark, n, points, {"block": n}, {"block": 64, "coarse": 50, "sweeps": 0}, {"block": 64, "coarse": 50, "sweeps": 6}, data_limits=True)
+    off = [(x - whole).abs().max() for x in (cut, swept)]  # the values span more than 100
+    assert off[0] < 1.5 and off[1] < 0.5 * off[0]
 
 
 def test_gap_fill_keeps_the_composite(spark):
@@ -204,6 +216,68 @@ def test_unknown_weight_is_zero(spark):
     assert {(r.tile_id, r.sum_weight, r.avg_weight) for r in tiling.weights_by_tile(t, m).collect()} == {(1, 0, 0.0), (2, 0, 0.0)}
 
 
+def test_scan_of_mixed_separators(spark):
+    df = spark.createDataFrame([("f", v) for v in ("1,2;-3", "1\t2 3", "1.5+2 -3", "1 2 3 4", "1 x 3", "1 2", "", " ", "1,,3")] + [("f", None)], "file string, value string")
+    points, skipped = files.scan_points(df)
+    assert sorted(tuple(r)[1:] for r in points.collect() if r.y is not None and r.z is not None) == [(1.0, 2.0, -3.0), (1.0, 2.0, 3.0), (1.5, 2.0, -3.0)]
+    assert points.filter("y IS NULL OR z IS NULL").count() == 2 and {r.value for r in skipped.collect()} == {"1 2 3 4", "1 x 3"}
+    assert files.scan_points(df.limit(0))[0].count() == 0
+
+
+def test_reject_files(spark, tmp_path):
+    df = spark.createDataFrame([(1.6, 2.4, None, 7, None, None, "null"), (1.0, 2.0, -10000.0, 7, 3, 1, "depth"), (9e9, 2.0, -1.0, 7, None, None, "outside")], "x double, y double, z double, rid long, tile_id int, basic_tile int, reason string")
+    files.write_rejects(df, str(tmp_path / "r"))
+    got = {(r.reason, r.value) for r in spark.read.text(str(tmp_path / "r")).collect()}
+    assert got == {("null", "2 2  7"), ("depth", "1 2 -10000 7 3 1"), ("outside", "9000000000 2 -1 7")}
+
+
+def test_list_files(spark, tmp_path):
+    for name in ("100_a.xyz", "100_b.xyz", "200_a.xyz", "notes.md"):
+        (tmp_path / name).write_text("x")
+    got = files.list_files(spark, str(tmp_path), "*.xyz")
+    assert sorted((r.prefix, r.bytes) for r in got.collect()) == [("100", 1), ("100", 1), ("200", 1)]
+    assert files.list_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_sniffed_separators(spark, tmp_path):
+    for k, sep in enumerate(",\t "):
+        (tmp_path / f"{k}.csv").write_text(sep.join("ab") + "\n" + sep.join(["1", '"x"']) + "\n")
+        assert [tuple(r) for r in files.sniffed(spark, str(tmp_path / f"{k}.csv"), "a int, b string").collect()] == [(1, '"x"')]
+
+
+def test_skewed_tiles_are_written_whole(spark, tmp_path):
+    p = spark.range(20000).selectExpr("id AS x", "CAST(IF(id % 50 = 0, id % 7, 3) AS INT) AS basic_tile")
+    files.write_tiles(p, str(tmp_path / "t"))
+    assert files.read_tiles(spark, str(tmp_path / "t")).count() == 20000
+    assert files.read_tiles(spark, str(tmp_path / "t"), 3).count() == p.filter("basic_tile = 3").count()
+
+
+def test_dense(spark):
+    r = spark.createDataFrame([(0, 0, 1.9), (1, 2, None), (2, 1, -3.2)], "cx int, cy int, v double")
+    assert files.dense(r, 3).tolist() == [[1, -32768, -32768], [-32768, -32768, -3], [-32768, -32768, -32768]]
+
+
+def test_steering_rounds_to_even(spark):
+    table = spark.createDataFrame([(300, "rock", 41), (301, "rock", 9)], "dataset_rid long, dataset_name string, dataset_tid int")
+    df = spark.createDataFrame([("a/rock.xyz", "0.5,1.5\t2.5"), ("a/rock.xyz", "-0.5 -1.5  x"), ("a/other.xyz", "1 2 3"), ("a/rock.xyz", None)], "file string, value string")
+    assert [tuple(r) for r in blocks.steering(df, table).collect()] == [(0, 2, 2, 300, 41)]
+
+
+def test_no_shared_folder_on_a_cluster(spark, monkeypatch):
+    class Session:
+        conf = type("", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = type("", (), {"getCheckpointDir": staticmethod(lambda: None), "master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        files.scratch(Session)
+
+
+def test_ingest_matches_each_pattern_once(spark):
+    for f in (ingest.soundings, ingest.rejects):
+        plan = f(lines(spark, "1 2 3"))._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace") <= 6 and plan.count("regexp_extract") <= 3
+
+
 def test_newest(spark):
     runs = spark.createDataFrame([(str(k), k) for k in range(12)], "name string, created int")
     assert catalog.newest(runs, 10).filter("keep").count() == 10
