@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridmill.llm import decontamination, line_dedup, minhash_dedup, mixing, quality
-from gridmill.llm.kernels import own, settle
+from gridmill.llm.kernels import own, settle, settle_stage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,5 +42,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir))
+        docs = settle_stage(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), over=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
