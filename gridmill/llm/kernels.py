@@ -275,19 +275,37 @@ def settle(df: DataFrame, over: DataFrame | None = None) -> DataFrame:
     spark = df.sparkSession
     path = shared_dir(spark)
     df.write.parquet(path)
+    _MADE.append(path)
     if over is not None:
         drop(over)
     return spark.read.parquet(path)
 
 
+_MADE: list[str] = []  # the folders of settled tables
+
+
+def settle_stage(make, over: DataFrame) -> DataFrame:
+    """The rows of ``make()`` settled; the tables that were settled on the way to them go, and so does ``over`` if it was settled."""
+    before = len(_MADE)
+    df = make()
+    between = _MADE[before:]
+    out = settle(df, over=over)
+    for path in between:
+        _remove(df.sparkSession, path)
+    return out
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    fs, at = _path(spark, path)
+    fs.delete(at, True)
+
+
 def drop(settled: DataFrame) -> None:
-    """Removes the files of a settled table that no plan reads any more."""
+    """Removes the files of a settled table that no plan reads any more; other tables are left alone."""
     spark = settled.sparkSession
-    homes = {f.rsplit("/", 1)[0] for f in settled.inputFiles()}
-    for path in homes:
+    for path in {f.rsplit("/", 1)[0] for f in settled.inputFiles()}:
         if f"/gridmill-{spark.sparkContext.applicationId}/" in path:
-            fs, at = _path(spark, path)
-            fs.delete(at, True)
+            _remove(spark, path)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

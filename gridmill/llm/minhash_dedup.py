@@ -7,10 +7,11 @@ places; two signatures within ``max_distance`` have, by pigeonhole, a chunk with
 and each masked chunk is a key: every pair within the distance shares at least one key. Rows that share a key are
 compared in full, so the pairs are exactly those within the distance, whatever the number of rows under a key.
 
-Equal signatures are folded first (thousands of exact copies cost one row). Rows under a key are taken apart into
-connected groups by a search in which each row that is reached is compared only with rows not reached yet; a
-tight group of n rows costs about n comparisons, with no limit on n. Links are joined into groups by alternating
-minimum-label steps over written tables, as lineage would otherwise grow.
+Equal signatures are folded first (thousands of exact copies cost one row of links each). Under each key every row is
+compared with the first, which brings a cluster together in one step, as rows of pairs and never as a list in a row.
+Only keys under which rows of different groups are left are searched in full, each in one task: in turn each row that
+is reached is compared with the rows not reached yet, so a tight group of n rows costs about n comparisons. Links are
+joined into groups by alternating minimum-label steps over written tables, as lineage would otherwise grow.
 
 Defined results: rows whose text is null or blank have no shingle and are never near anything; a text shorter
 than a shingle is one shingle; equal rows form a group; ``keep`` is the smallest id of a group and equal ids are
@@ -23,7 +24,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridmill.llm import kernels as K
@@ -76,6 +77,7 @@ def near_groups(
 ) -> DataFrame:
     """``(id_col, keep)`` for every row of a group of two or more: ``keep`` is the one that stays."""
     spark = docs.sparkSession
+    K.small_batches(spark)
     errors = max_distance // chunks
     masks = _masks(perms, chunks, errors)
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id IS NOT NULL")
@@ -121,8 +123,13 @@ def near_groups(
                 left = left[~near]
         return group
 
+    def close(batches):
+        for batch in batches:
+            near = (matrix(batch.column(2)) != matrix(batch.column(3))).sum(1) <= max_distance
+            yield pa.record_batch([batch.column(k).filter(pa.array(near)) for k in (0, 1)], ["u", "v"])
+
     def link(table: pa.Table) -> pa.Table:
-        ids, cut = table["id"].combine_chunks(), table["bucket"].to_numpy()
+        ids, cut = table["id"].combine_chunks(), table["key"].to_numpy()
         sig = matrix(table["sig"])
         by = np.argsort(cut, kind="stable")
         edges = np.append(np.flatnonzero(np.concatenate([[True], cut[by][1:] != cut[by][:-1]])), len(by))
@@ -133,18 +140,29 @@ def near_groups(
             moved = to != own
             a.append(own[moved])
             b.append(to[moved])
+        K.trim()
         return pa.table({"u": ids.take(pa.array(np.concatenate(a))), "v": ids.take(pa.array(np.concatenate(b)))})
 
-    signed = docs.mapInArrow(sign, f"id {id_type}, sig binary")
-    folded = K.settle(signed.groupBy("sig").agg(F.collect_set("id").alias("ids")))
-    heads = folded.select(F.array_min("ids").alias("id"), "sig")
-    copies = folded.filter("size(ids) > 1").select(F.array_min("ids").alias("v"), F.explode("ids").alias("u")).filter("u <> v")
-    buckets = heads.mapInArrow(keys, f"id {id_type}, key long").groupBy("key").agg(F.collect_set("id").alias("ids")).filter("size(ids) > 1")
-    buckets = buckets.select(F.array_sort("ids").alias("ids")).distinct()  # the same rows under many keys are compared once
+    signed = docs.mapInArrow(sign, f"id {id_type}, sig binary").withColumn("head", F.min("id").over(Window.partitionBy("sig")))
+    signed = K.settle(signed)
+    heads = signed.filter("id = head").select("id", "sig").dropDuplicates(["id", "sig"])
+    copies = signed.filter("id <> head").select(F.col("id").alias("u"), F.col("head").alias("v"))
+    under = Window.partitionBy("key")
+    keyed = heads.mapInArrow(keys, f"id {id_type}, key long").select("key", "id", F.min("id").over(under).alias("head"), F.count("*").over(under).alias("n"))
+    shared = K.settle(keyed.filter("n > 1").drop("n"))
+    # under each key every row against the first; a row is joined before its head, of which there may be very many
+    stars = shared.filter("id <> head").select("id", "head").distinct().join(heads.withColumnRenamed("sig", "a"), "id").join(heads.select(F.col("id").alias("head"), F.col("sig").alias("b")), "head")
+    near = K.settle(stars.select("id", "head", "a", "b").mapInArrow(close, f"u {id_type}, v {id_type}").unionByName(copies))
+    # keys whose rows this has not brought into one group: all their rows, the same rows under several keys once
+    known = components(near)
+    named = shared.join(known, "id", "left").select("key", "id", F.coalesce("keep", "id").alias("group"))
+    mark = F.xxhash64(F.lit(1), "id"), F.xxhash64(F.lit(2), "id").cast("decimal(38,0)")
+    sets = named.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi"), F.bit_xor(mark[0]).alias("m"), F.sum(mark[1]).alias("s"), F.count("*").alias("n")).filter("lo <> hi")
+    once = sets.groupBy("m", "s", "n").agg(F.min("key").alias("key")).select("key")
     parts = 4 * K.shuffle_parts(spark)
-    members = buckets.select(F.xxhash64("ids").alias("bucket"), F.explode("ids").alias("id"))
-    links = members.join(heads, "id").withColumn("part", F.pmod("bucket", F.lit(parts))).groupBy("part").applyInArrow(link, f"u {id_type}, v {id_type}")
-    return components(K.settle(links.unionByName(copies.select("u", "v")).distinct())).select(F.col("id").alias(id_col), "keep")
+    members = shared.select("key", "id").join(once, "key").join(heads, "id").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+    links = members.groupBy("part").applyInArrow(link, f"u {id_type}, v {id_type}")
+    return components(K.settle(links.unionByName(near).distinct())).select(F.col("id").alias(id_col), "keep")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -152,7 +170,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Large-star and small-star steps in turn: each writes its links, so a lost executor costs no more than a step.
     """
-    seen = None
+    seen = last = None
     while True:
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -160,7 +178,8 @@ def components(links: DataFrame) -> DataFrame:
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         joined = down.join(low, "u")
-        links = K.settle(joined.select("u", F.col("m").alias("v")).unionByName(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        links = K.settle(joined.select("u", F.col("m").alias("v")).unionByName(joined.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), over=last)
+        last = links
         mark = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break
