@@ -1,15 +1,17 @@
 """Exact top-k search of every row among all rows: M-trees searched best first.
 
-The metric space is cut into pages around routers (a hash-ordered sample of the rows, at most ``max_routers`` of
-them, broadcast). A page larger than ``page_rows`` is cut further by a hash of the id, so a page fits its task at
-any size. Each page is an M-tree: inner entries hold a router, its covering radius and its distance to the page's
-router; leaf entries hold their distance to their own router. All queries that meet in a page go through its tree
-together, each in its own best-first order: a query leaves a subtree unopened when its lower bound exceeds the
-query's k-th distance, and skips the distance to an entry when the stored distances already rule it out
-(``|d(q, parent) - d(entry, parent)| - radius`` beyond the k-th distance).
+The metric space is cut into nodes around routers (a hash-ordered sample of the rows), and nodes of more than
+``page_rows`` rows into pages around routers of their own, sampled from the node's rows. Each page is an M-tree: inner
+entries hold a router, its covering radius and its distance to the page's router; leaf entries hold their distance to
+their own router. All queries that meet in a page go through its tree together, each in its own best-first order: a
+query leaves a subtree unopened when its lower bound exceeds the query's k-th distance, and skips the distance to an
+entry when the stored distances already rule it out (``|d(q, parent) - d(entry, parent)| - radius`` beyond the k-th
+distance).
 
-A query first searches its own page, which bounds its k-th distance; it then goes only to pages whose router and
-covering radius allow something within the bound. The results are exact.
+A query first searches its own page, which bounds its k-th distance; it then goes down from the nodes in the same way,
+by covering radii and parent distances, and only to pages that may hold something within the bound. The results are
+exact. All routers are broadcast, ``max_routers`` nodes and as many pages as ``limit_bytes`` hold; where that is too
+few, or rows are equal, a page is cut further by a hash of the row, and the parts are all visited.
 
 Distances are Euclidean. Defined results: rows with a null id, a null or empty vector, a null or NaN element, or
 another length than most rows are left out; a row is no neighbour of its own id; rows of one id are one query, which
@@ -114,7 +116,7 @@ class Tree:
         kth[i[hit]] = np.minimum(kth[i[hit]], dist[i[hit], k - 1])
 
 
-def nearest(vectors: DataFrame, k: int = 10, page_rows: int = 8192, max_routers: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 10, page_rows: int = 8192, max_routers: int = 2048, limit_bytes: int = 64 << 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``(id_col, rank, neighbor, distance)``: the k nearest others of every row, rank from 1."""
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
@@ -125,29 +127,68 @@ def nearest(vectors: DataFrame, k: int = 10, page_rows: int = 8192, max_routers:
         return spark.createDataFrame([], f"`{id_col}` {kind}, rank int, neighbor {kind}, distance double")
     n, dims = sizes["count"], sizes["d"]
     v = v.filter(F.size("v") == dims).distinct()
-    m = int(max(1, min(max_routers, n // (page_rows // 2), (64 << 20) // (8 * dims))))  # what is broadcast stays below 64 MB
-    routers = v.orderBy(F.xxhash64(F.col("id").cast("string")), "id", "v").limit(m).toPandas()["v"]
-    routers = np.unique(np.stack([np.asarray(x, float) for x in routers]), axis=0)
-    held = spark.sparkContext.broadcast(routers)
+    most = max(1, limit_bytes // (8 * dims))
+    m = int(max(1, min(max_routers, n // (page_rows // 2), most)))
+    hashed = F.xxhash64(F.col("id").cast("string"))
+    nodes = v.orderBy(hashed, "id", "v").limit(m).toPandas()["v"]
+    nodes = np.unique(np.stack([np.asarray(x, float) for x in nodes]), axis=0)
 
     def matrix(column) -> np.ndarray:
         column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
         return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
 
+    def closest(x: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.argmin((x**2).sum(1)[:, None] - 2 * x @ r.T + (r**2).sum(1), 1)
+        return at, np.sqrt(((x - r[at]) ** 2).sum(1))
+
+    top = spark.sparkContext.broadcast(nodes)
+
     def assign(batches):
-        r = held.value
         for batch in batches:
-            x = matrix(batch.column(1))
-            page = np.argmin((x**2).sum(1)[:, None] - 2 * x @ r.T + (r**2).sum(1), 1)
-            pd = np.sqrt(((x - r[page]) ** 2).sum(1))
-            yield pa.record_batch([*batch.columns, pa.array(page, pa.int32()), pa.array(pd)], ["id", "v", "page", "pd"])
-
-    rows = K.settle(v.mapInArrow(assign, f"id {kind}, v array<double>, page int, pd double"))
-    pages = rows.groupBy("page").agg(F.count("*").alias("n"), F.max("pd").alias("r")).toPandas().sort_values("page")  # a row a router
-    number, radius = pages["page"].to_numpy(), pages["r"].to_numpy()
-    subs = np.maximum(1, -(-pages["n"].to_numpy() // page_rows))
-    count = F.element_at(F.create_map(*[F.lit(int(x)) for p in zip(number, subs) for x in p]), F.col("page"))
-    rows = rows.withColumn("sub", F.pmod(F.xxhash64("id", "v"), count).cast("int"))
+            node, d = closest(matrix(batch.column(1)), top.value)
+            yield pa.record_batch([*batch.columns, pa.array(node, pa.int32()), pa.array(d)], ["id", "v", "node", "nd"])
+
+    rows = K.settle(v.mapInArrow(assign, f"id {kind}, v array<double>, node int, nd double"))
+    sizes = rows.groupBy("node").agg(F.count("*").alias("n"), F.max("nd").alias("r")).toPandas().sort_values("node")  # a row a node
+    used, count = sizes["node"].to_numpy(), sizes["n"].to_numpy()
+    wanted = np.where(count > page_rows, -(-count // max(1, page_rows // 2)), 1)
+    wanted = np.maximum(1, (wanted * min(1.0, most / wanted.sum())).astype(int))
+    big = {int(c): int(w) for c, w in zip(used, wanted) if w > 1}
+    own = {int(c): nodes[[c]] for c in used}  # the routers of each node's pages
+    if big:
+        share = F.create_map(*[F.lit(x) for pair in big.items() for x in pair])
+        some = rows.filter(F.col("node").isin(list(big))).withColumn("w", F.row_number().over(Window.partitionBy("node").orderBy(hashed, "id", "v"))).filter(F.col("w") <= F.element_at(share, F.col("node")))
+        for c, part in some.select("node", "v").toPandas().groupby("node"):
+            own[int(c)] = np.unique(np.stack([np.asarray(x, float) for x in part["v"]]), axis=0)
+    first = np.cumsum([0] + [len(own[int(c)]) for c in used])
+    routers = np.concatenate([own[int(c)] for c in used])
+    parent = np.repeat(np.arange(len(used)), np.diff(first))  # of pages, the place of the node among those used
+    aside = np.sqrt(((routers - nodes[used[parent]]) ** 2).sum(1))  # and the distance to its router
+    top.unpersist()
+    held = spark.sparkContext.broadcast((nodes[used], sizes["r"].to_numpy(), routers, first, aside))
+    where = {int(c): i for i, c in enumerate(used)}
+
+    def page(batches):
+        routers, first = held.value[2:4]
+        for batch in batches:
+            x, node = matrix(batch.column(1)), batch.column(2).to_numpy()
+            at, d = np.empty(len(x), np.int32), batch.column(3).to_numpy().copy()
+            for c in np.unique(node):
+                i, k = np.flatnonzero(node == c), where[int(c)]
+                at[i] = first[k]
+                if first[k + 1] - first[k] > 1:
+                    near, d[i] = closest(x[i], routers[first[k] : first[k + 1]])
+                    at[i] += near
+            yield pa.record_batch([*batch.columns[:2], pa.array(at, pa.int32()), pa.array(d)], ["id", "v", "page", "pd"])
+
+    rows = K.settle(rows.mapInArrow(page, f"id {kind}, v array<double>, page int, pd double"), over=rows)
+    pages = rows.groupBy("page").agg(F.count("*").alias("n"), F.max("pd").alias("r")).toPandas()  # a row a page
+    radius, subs = np.full(len(routers), -np.inf), np.zeros(len(routers), int)
+    radius[pages["page"]] = pages["r"]
+    subs[pages["page"]] = -(-pages["n"].to_numpy() // page_rows)
+    cut = {int(p): int(c) for p, c in enumerate(subs) if c > 1}
+    cuts = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in cut.items() for x in pair]), F.col("page")), F.lit(1)) if cut else F.lit(1)
+    rows = rows.withColumn("sub", F.pmod(F.xxhash64("id", "v"), cuts).cast("int"))
 
     def found(ids_q, ids_d, at, dist, extra=()):
         q, r = np.nonzero(np.isfinite(dist))
@@ -159,44 +200,55 @@ def nearest(vectors: DataFrame, k: int = 10, page_rows: int = 8192, max_routers:
 
     def home(table: pa.Table) -> pa.Table:
         x, ids = matrix(table["v"]), table["id"].combine_chunks()
-        page = table["page"][0].as_py()
-        at, dist = Tree(x, held.value[page]).search(x, table["pd"].to_numpy(), np.full(len(x), np.inf), ranks(ids, ids), k)
+        at, dist = Tree(x, held.value[2][table["page"][0].as_py()]).search(x, table["pd"].to_numpy(), np.full(len(x), np.inf), ranks(ids, ids), k)
         near = [[(ids[int(i)].as_py(), float(d)) for i, d in zip(a, b) if np.isfinite(d)] for a, b in zip(at, dist)]
         return pa.table(
             [ids, table["v"].combine_chunks(), table["page"].combine_chunks(), table["sub"].combine_chunks(), pa.array(dist[:, k - 1]), pa.array([[{"neighbor": i, "d": d} for i, d in y] for y in near], pa.list_(pa.struct([("neighbor", ids.type), ("d", pa.float64())])))],
             ["id", "v", "page", "sub", "bound", "near"],
         )
 
-    first = K.settle(rows.groupBy("page", "sub").applyInArrow(home, f"id {kind}, v array<double>, page int, sub int, bound double, near array<struct<neighbor: {kind}, d: double>>"))
+    bounded = K.settle(rows.groupBy("page", "sub").applyInArrow(home, f"id {kind}, v array<double>, page int, sub int, bound double, near array<struct<neighbor: {kind}, d: double>>"))
 
     def route(batches):
-        r = held.value[number]
-        total = int(subs.sum())
-        to_page, to_sub = np.repeat(np.arange(len(number)), subs), np.concatenate([np.arange(s) for s in subs])
+        """Each row with every page, but its own, that may hold something within its bound."""
+        nodes, reach, routers, first, aside = held.value
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                x = matrix(part.column(1))
-                d = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ r.T + (r**2).sum(1), 0))
-                bound = part.column(4).to_numpy()
-                may = (d - radius[None, :] <= bound[:, None] + 1e-6)[:, to_page]
-                page, sub = part.column(2).to_numpy(), part.column(3).to_numpy()
-                may &= ~((number[to_page][None, :] == page[:, None]) & (to_sub[None, :] == sub[:, None]))
-                q, p = np.nonzero(may)
-                for c in range(0, len(q), 8192):
-                    qq, pp = q[c : c + 8192], p[c : c + 8192]
-                    at = pa.array(qq)
-                    exact = np.sqrt(((x[qq] - r[to_page[pp]]) ** 2).sum(1))
-                    yield pa.record_batch([part.column(0).take(at), part.column(1).take(at), pa.array(number[to_page[pp]], pa.int32()), pa.array(to_sub[pp], pa.int32()), pa.array(exact), pa.array(bound[qq])], ["id", "v", "page", "sub", "pd", "bound"])
-
-    asked = first.mapInArrow(route, f"id {kind}, v array<double>, page int, sub int, pd double, bound double")
+                x, bound = matrix(part.column(1)), part.column(4).to_numpy()
+                own, sub = part.column(2).to_numpy(), part.column(3).to_numpy()
+                d = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ nodes.T + (nodes**2).sum(1), 0))
+                open_ = d - reach[None, :] <= bound[:, None] + 1e-6
+                rows_, pages_ = [], []
+                for c in np.flatnonzero(open_.any(0)):
+                    q, kids = np.flatnonzero(open_[:, c]), np.arange(first[c], first[c + 1])
+                    a, b = np.nonzero(np.abs(d[q, c][:, None] - aside[kids][None, :]) - radius[kids][None, :] <= bound[q][:, None] + 1e-6)
+                    rows_.append(q[a])
+                    pages_.append(kids[b])
+                if not rows_:
+                    continue
+                rows_, pages_ = np.concatenate(rows_), np.concatenate(pages_)
+                for c in range(0, len(rows_), 8192):
+                    q, p = rows_[c : c + 8192], pages_[c : c + 8192]
+                    exact = np.sqrt(((x[q] - routers[p]) ** 2).sum(1))
+                    may = exact - radius[p] <= bound[q] + 1e-6
+                    q, p, exact = q[may], p[may], exact[may]
+                    n = subs[p]  # a page that is cut is visited in all its parts
+                    part_of = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                    q, p, exact = np.repeat(q, n), np.repeat(p, n), np.repeat(exact, n)
+                    other = (p != own[q]) | (part_of != sub[q])
+                    q, p, exact, part_of = q[other], p[other], exact[other], part_of[other]
+                    at = pa.array(q)
+                    yield pa.record_batch([part.column(0).take(at), part.column(1).take(at), pa.array(p, pa.int32()), pa.array(part_of, pa.int32()), pa.array(exact), pa.array(bound[q])], ["id", "v", "page", "sub", "pd", "bound"])
+
+    asked = bounded.mapInArrow(route, f"id {kind}, v array<double>, page int, sub int, pd double, bound double")
 
     def visit(queries: pa.Table, data: pa.Table) -> pa.Table:
         empty = pa.table({"id": pa.array([], data.schema.field("id").type), "neighbor": pa.array([], data.schema.field("id").type), "d": pa.array([], pa.float64())})
         if not queries.num_rows or not data.num_rows:
             return empty
         x, ids = matrix(data["v"]), data["id"].combine_chunks()
-        tree = Tree(x, held.value[data["page"][0].as_py()])
+        tree = Tree(x, held.value[2][data["page"][0].as_py()])
         out = [empty]
         for lo in range(0, queries.num_rows, 8192):
             part = queries.slice(lo, 8192)
@@ -206,7 +258,7 @@ def nearest(vectors: DataFrame, k: int = 10, page_rows: int = 8192, max_routers:
         return pa.concat_tables(out)
 
     far = asked.groupBy("page", "sub").cogroup(rows.groupBy("page", "sub")).applyInArrow(visit, f"id {kind}, neighbor {kind}, d double")
-    near = first.select("id", F.explode("near").alias("x")).select("id", "x.neighbor", "x.d")
+    near = bounded.select("id", F.explode("near").alias("x")).select("id", "x.neighbor", "x.d")
     best = near.unionByName(far).groupBy("id", "neighbor").agg(F.min("d").alias("d"))
     place = Window.partitionBy("id").orderBy("d", "neighbor")
     best = best.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
