@@ -125,6 +125,10 @@ def test_topk_by_brute_force(spark):
     named = df.selectExpr("concat('v', lpad(vec_id, 4, '0')) AS vec_id", "embedding")  # ids may be text
     texts = {(r.vec_id, r.rank): (r.neighbor, r.distance) for r in exact_topk.nearest(named, k=5, page_rows=32, max_routers=7).collect()}
     assert texts == {(f"v{i:04}", k): (f"v{j:04}", d) for i in range(300) for k, (j, d) in enumerate(got[i], 1)}
+    # one node that is cut into pages, pages without routers that are cut by hash, and a router for nearly every row
+    for sizes in ({"page_rows": 16, "max_routers": 2}, {"page_rows": 16, "max_routers": 2, "limit_bytes": 3 * 48}, {"page_rows": 2, "max_routers": 300}):
+        again = {(r.vec_id, r.rank): (r.neighbor, r.distance) for r in exact_topk.nearest(df, k=5, **sizes).collect()}
+        assert again == {(i, k): x for i in range(300) for k, x in enumerate(got[i], 1)}
     assert exact_topk.nearest(df.limit(0)).count() == 0
     assert exact_topk.nearest(df.filter("vec_id IN (1, 2)"), k=5).count() == 2
 
@@ -320,6 +324,18 @@ def test_signature_recall():
     assert found >= 190
 
 
+def test_groups_of_a_chain_under_one_key(spark):
+    # rows that are near their neighbours only, so the first under a key doesn't reach them all
+    base = words(random.Random(15), 400, 10**6).split()
+    texts = [" ".join(base[30 * k : 30 * k + 240]) for k in range(6)]
+    at, sig = minhash_dedup.signatures(*kernels.utf8(pa.array(texts)), 64, 16, 3)
+    near = [[(sig[a] != sig[b]).sum() <= 40 for b in range(6)] for a in range(6)]
+    assert all(near[k][k + 1] for k in range(5)) and not near[0][5]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.keep for r in minhash_dedup.near_groups(df, chunks=8, max_distance=40).collect()}
+    assert got == {k: 0 for k in range(6)}
+
+
 def test_components(spark):
     links = [(k + 1, k) for k in range(40)] + [(100, 99), (101, 99), (200, 150), (200, 120), (120, 110)]
     got = {r.id: r.keep for r in minhash_dedup.components(spark.createDataFrame(links, "u long, v long")).collect()}
