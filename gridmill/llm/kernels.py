@@ -319,11 +319,11 @@ def input_bytes(df: DataFrame) -> int:
     return total if total < 1 << 60 else shuffle_parts(df.sparkSession) << 26
 
 
-def small_batches(spark: SparkSession, limit: int = 16 << 20) -> None:
-    """Long texts make large batches; the session's limit of bytes in one is lowered, so that neither side of the pipe holds much."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    try:
-        if int(spark.conf.get(key).rstrip("b")) > limit:
-            spark.conf.set(key, str(limit))
-    except ValueError:  # given with another unit: the user's own choice
-        pass
+def small_batches(spark: SparkSession, limit: int = 8 << 20, rows: int = 512) -> None:
+    """Long texts make large batches; the session's limits of bytes to Python and of rows read at once are lowered, so that neither side of the pipe holds much."""
+    for key, most in (("spark.sql.execution.arrow.maxBytesPerBatch", limit), ("spark.sql.parquet.columnarReaderBatchSize", rows)):
+        try:
+            if int(spark.conf.get(key).rstrip("b")) > most:
+                spark.conf.set(key, str(most))
+        except ValueError:  # given with another unit: the user's own choice
+            pass
