@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -308,6 +309,30 @@ def drop(settled: DataFrame) -> None:
             _remove(spark, path)
 
 
+MEMBERS = 1 << 24  #: ids that a worker holds, of 8 bytes each
+
+
+def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose ``id`` is one of ``ids`` (a settled table).
+
+    The rows stay where they are read if ids are whole numbers and at most ``MEMBERS``; else they are joined.
+    """
+    if not all(isinstance(x.schema["id"].dataType, IntegralType) for x in (rows, ids)) or ids.count() > MEMBERS:
+        return rows.join(ids.select("id"), "id", "left_semi").select(*rows.columns)
+    own = ids.select(F.col("id").cast("long")).filter("id IS NOT NULL").toArrow()["id"].to_numpy()
+    held, at = rows.sparkSession.sparkContext.broadcast(np.unique(own)), rows.columns.index("id")
+
+    def keep(batches):
+        own = held.value
+        for batch in batches:
+            x = batch.column(at).cast(pa.int64())
+            n = pc.fill_null(x, 0).to_numpy(zero_copy_only=False)
+            i = np.minimum(np.searchsorted(own, n), len(own) - 1)
+            yield batch.filter(pc.and_(x.is_valid(), pa.array(own[i] == n if len(own) else np.zeros(len(n), bool))))
+
+    return rows.mapInArrow(keep, rows.schema)
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,9 +4,11 @@ Every word of every text is scanned. Words that the channel may have disguised (
 masked or doubled, or with a dot, dash or the like between letters; three or more letters apart with spaces, however
 many) become a lattice of what each character may stand for, and Viterbi decoding under a character trigram model
 finds the likeliest plain word; plain words and numbers are their own only reading. A text's score is the sum, over its distinct words, of each word's largest log-odds among
-the word and its prefixes in toxic against other labelled rows. The trigram model and the log-odds are learned from
-a bounded sample of labelled rows (``train_rows``, the first in the order of a hash of the id); both are as bounded
-as the sample. Texts are scored where they are read: nothing is shuffled but the training counts.
+the word and its prefixes in toxic against other labelled rows. The trigram model, the log-odds and the threshold are
+learned from all labelled rows. Texts are scored where they are read: nothing is shuffled but counts (of the labelled
+rows' words and features), and labelled texts if ``kernels.among`` needs a join. The trigrams, as many as the alphabet
+allows, are held by every worker, and so are the features, ``FEATURES`` of them: where there are more, texts are scored
+in several passes, each over a part of the features (256 parts at most), and written between them.
 
 Defined results: null and blank texts score 0; very long words are decoded whole (a run of one character counts as
 two); a label table may repeat ids (one toxic label is enough) and may name ids without a document; without a toxic
@@ -30,6 +32,7 @@ from gridmill.llm import kernels as K
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 _GAPS = ".-_*~'"
 _PREFIXES = tuple(range(4, 11))
+FEATURES = 1 << 22  #: features that a worker holds, of 16 bytes each
 _STRIP = np.zeros(256, bool)
 _STRIP[[ord(c) for c in ".,!$%*#&|\"'()[]{}?;:-_~<>=+/\\"]] = True
 _LETTER = np.zeros(256, bool)
@@ -188,10 +191,12 @@ def _apart(s: np.ndarray, e: np.ndarray, cs: np.ndarray, ce: np.ndarray, data: n
 
 
 def features(data: np.ndarray, s: np.ndarray, e: np.ndarray):
-    """The hashes of each word and of its prefixes of some bytes; 0 where the word is no longer than that."""
+    """The hashes of each word and of its prefixes of some bytes; 0 where the word is no longer than that. Their last byte goes by the word's first four bytes."""
     lens = e - s
-    for size, h in zip((0, *_PREFIXES), K.prefix_hashes(data, s, e, _PREFIXES)):
-        h = h ^ K.U64((size + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    hashes = K.prefix_hashes(data, s, e, _PREFIXES)
+    last = hashes[1] & K.U64(255)
+    for size, h in zip((0, *_PREFIXES), hashes):
+        h = (h ^ K.U64((size + 1) * 0x9E3779B97F4A7C15 % 2**64)) & K.U64(2**64 - 256) | last
         yield np.where(lens > size if size else lens > 1, h, K.U64(0))
 
 
@@ -248,17 +253,22 @@ def _features_of(data, s, e, rows, chosen: np.ndarray | None):
     return np.concatenate(out_r), np.concatenate(out_w), np.concatenate(out_f)
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int, min_docs: int, min_odds: float):
-    """Trigram counts, the chosen features with their log-odds, and the sample, from rows ``(id, text)`` and labels ``(id, toxic)``."""
-    marks = labels.filter("id IS NOT NULL AND toxic IS NOT NULL").groupBy("id").agg(F.max("toxic").alias("toxic"))
-    marks = K.settle(marks.orderBy(F.xxhash64(F.col("id").cast("string")), "id").limit(train_rows))
-    sample = K.settle(docs.join(F.broadcast(marks), "id").select("toxic", "text").filter("text IS NOT NULL"))
+def train(docs: DataFrame, labels: DataFrame, min_docs: int, min_odds: float):
+    """Trigram counts, the table ``(f, w)`` of features and log-odds, and all labelled rows, from rows ``(id, text)`` and labels ``(id, toxic)``."""
+    marks = K.settle(labels.filter("id IS NOT NULL AND toxic IS NOT NULL").groupBy("id").agg((F.max("toxic") > 0).alias("toxic")))
+    texts = docs.filter("text IS NOT NULL")
+    sides = [K.among(texts, marks.filter(F.col("toxic") == x).select("id")).select(F.lit(x).alias("toxic"), "text") for x in (True, False)]
+    known = K.settle(sides[0].unionByName(sides[1]))
+
+    def vocabulary(batches):
+        for batch in K.slices(batches, block_bytes=4 << 20):
+            words = Counter(w for t in batch.column(1).to_pylist() for w in re.findall(r"[^\W\d_]+", t))
+            yield pa.record_batch([pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["w", "n"])
 
     def trigrams(batches):
         for batch in batches:
-            words = Counter(w for t in batch.column(1).to_pylist() for w in re.findall(r"[^\W\d_]+", t))
             grams: Counter = Counter()
-            for w, n in words.items():
+            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 n = int(n**0.5) + 1  # a word's weight grows with its count, but not in proportion
                 w = "^^" + w + "$"
                 grams["^"] += n
@@ -269,7 +279,8 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int, min_docs: int, mi
                     grams[w[i - 2 : i + 1]] += n
             yield pa.record_batch([pa.array(list(grams), pa.string()), pa.array(list(grams.values()), pa.int64())], ["g", "n"])
 
-    counts = {r.g: r.n for r in sample.mapInArrow(trigrams, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
+    words = known.mapInArrow(vocabulary, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+    counts = {r.g: r.n for r in words.mapInArrow(trigrams, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")).collect()}
 
     def seen(chosen):
         def count(batches):
@@ -286,49 +297,62 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int, min_docs: int, mi
 
         return count
 
-    size = {r.toxic: r["count"] for r in sample.groupBy((F.col("toxic") > 0).alias("toxic")).count().collect()}
-    bad = sample.filter("toxic > 0").mapInArrow(seen(None), "f long, n long").groupBy("f").agg(F.sum("n").alias("t")).filter(F.col("t") >= min_docs).toPandas()
-    chosen = np.sort(bad["f"].to_numpy(dtype=np.int64).view(K.U64))
-    if not len(chosen):
-        return counts, chosen, np.zeros(0), sample
-    good = sample.filter("toxic <= 0").mapInArrow(seen(chosen), "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()
-    both = bad.merge(good, on="f", how="left").fillna({"n": 0})
-    odds = np.log((both["t"] + 0.5) / (size.get(True, 0) + 1)) - np.log((both["n"] + 0.5) / (size.get(False, 0) + 1))
-    both = both.assign(w=odds)[odds >= min_odds]
-    f = both["f"].to_numpy(dtype=np.int64).view(K.U64)
-    by = np.argsort(f)
-    return counts, f[by], both["w"].to_numpy()[by], sample
+    size = {r.toxic: r["count"] for r in known.groupBy("toxic").count().collect()}
+    bad = K.settle(known.filter("toxic").mapInArrow(seen(None), "f long, n long").groupBy("f").agg(F.sum("n").alias("t")).filter(F.col("t") >= min_docs))
+    # few enough features are looked for alone; else all of the other rows' are counted and joined
+    chosen = np.sort(bad.select("f").toArrow()["f"].to_numpy().view(K.U64)) if bad.count() <= FEATURES else None
+    good = known.filter("NOT toxic").mapInArrow(seen(chosen), "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
+    odds = F.log((F.col("t") + 0.5) / (size.get(True, 0) + 1)) - F.log((F.coalesce("n", F.lit(0)) + 0.5) / (size.get(False, 0) + 1))
+    model = bad.join(good, "f", "left").select("f", odds.alias("w")).filter(F.col("w") >= min_odds)
+    return counts, K.settle(model), known
 
 
 def scores(
-    docs: DataFrame, labels: DataFrame, train_rows: int = 10000, min_docs: int = 4, min_odds: float = 3.5, threshold: float = 5.5, recall: float = 0.97, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, min_docs: int = 4, min_odds: float = 3.5, threshold: float = 5.5, recall: float = 0.97, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``(id_col, score, toxic)`` for every row.
 
-    A row is toxic from ``threshold`` on, or from the score that ``recall`` of the sample's toxic rows with a score
+    A row is toxic from ``threshold`` on, or from the score that ``recall`` of the rows labelled toxic with a score
     reach, if that is lower: with few labels no single word can score as high as with many.
     """
+    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).alias("id"), F.lower(F.col(text_col)).alias("text"))
-    counts, chosen, odds, sample = train(docs, labels.select(F.col(id_col).alias("id"), "toxic"), train_rows, min_docs, min_odds)
-    held = docs.sparkSession.sparkContext.broadcast((counts, chosen, odds))
-
-    def score(batches):
-        counts, chosen, odds = held.value
-        channel = Channel(counts)
-        for batch in K.slices(batches, block_bytes=1 << 20):
-            out = np.zeros(batch.num_rows)
-            if len(chosen):
-                r, w, f = _features_of(*restored(*K.utf8(batch.column(1)), channel), chosen)
-                v = odds[np.searchsorted(chosen, f)]
-                by = np.lexsort((-v, w, r))  # of a row's word the largest
-                r, w, v = r[by], w[by], v[by]
-                first = np.ones(len(r), bool)
-                first[1:] = (r[1:] != r[:-1]) | (w[1:] != w[:-1])
-                np.add.at(out, r[first], v[first])
-            yield pa.record_batch([batch.column(0), pa.array(out)], ["id", "score"])
-
-    marked = sample.filter("toxic > 0").select("toxic", "text").mapInArrow(score, f"id {sample.schema['toxic'].dataType.simpleString()}, score double")
+    counts, model, known = train(docs, labels.select(F.col(id_col).alias("id"), "toxic"), min_docs, min_odds)
+    passes = min(256, -(-model.count() // FEATURES)) or 1
+
+    def score(held, carry):
+        def add(batches):
+            counts, chosen, odds = held.value
+            channel = Channel(counts)
+            for batch in K.slices(batches, block_bytes=1 << 20):
+                out = batch.column(2).to_numpy().copy()
+                if len(chosen):
+                    r, w, f = _features_of(*restored(*K.utf8(batch.column(1)), channel), chosen)
+                    v = odds[np.searchsorted(chosen, f)]
+                    by = np.lexsort((-v, w, r))  # of a row's word the largest
+                    r, w, v = r[by], w[by], v[by]
+                    first = np.ones(len(r), bool)
+                    first[1:] = (r[1:] != r[:-1]) | (w[1:] != w[:-1])
+                    np.add.at(out, r[first], v[first])
+                columns = [batch.column(0), *([batch.column(1)] if carry else []), pa.array(out)]
+                yield pa.record_batch(columns, ["id", *(["text"] if carry else []), "score"])
+
+        return add
+
+    parts = []
+    for k in range(passes):  # a word's features are all in one
+        part = model.filter(F.pmod(F.col("f").bitwiseAND(255), F.lit(passes)) == k).toArrow()
+        f, w = part["f"].to_numpy().view(K.U64), part["w"].to_numpy()
+        by = np.argsort(f)
+        parts.append(spark.sparkContext.broadcast((counts, f[by], w[by])))
+
+    def scored(table: DataFrame) -> DataFrame:
+        table, kind = table.withColumn("score", F.lit(0.0)), table.schema["id"].dataType.simpleString()
+        for held in parts[:-1]:
+            table = K.settle(table.mapInArrow(score(held, True), f"id {kind}, text string, score double"))
+        return table.mapInArrow(score(parts[-1], False), f"id {kind}, score double")
+
+    marked = scored(known.filter("toxic").select(F.col("toxic").alias("id"), "text"))
     least = marked.filter("score > 0").agg(F.percentile("score", F.lit(1 - recall))).first()[0]
     threshold = threshold if least is None else min(threshold, least)
-    scored = docs.mapInArrow(score, f"id {docs.schema[0].dataType.simpleString()}, score double")
-    return scored.select(F.col("id").alias(id_col), F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("toxic"))
+    return scored(docs).select(F.col("id").alias(id_col), F.round("score", 6).alias("score"), (F.col("score") >= threshold).alias("toxic"))

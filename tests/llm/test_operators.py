@@ -443,6 +443,32 @@ def test_lattice_decides(spark, toxic):
     assert marked(spark, made, tries + clean) == {t: t in tries for t in tries + clean}
 
 
+def test_all_labels_teach(spark):
+    order = [r.id for r in spark.range(10300).orderBy(F.xxhash64(F.col("id").cast("string")), "id").collect()]
+    late = order[10100:]  # the first 10000 once made a sample
+    docs = table(spark, *((i, "there on and", "en", "a") for i in order[:10100]), *((i, "there idiot and", "en", "a") for i in late), (20000, "an 1d10t", "en", "a"))
+    labels = spark.createDataFrame([(i, int(k >= 10100)) for k, i in enumerate(order)], "doc_id long, toxic int")
+    assert {r.doc_id for r in toxicity.scores(docs, labels).filter("toxic").collect()} == {*late, 20000}
+
+
+def test_toxicity_in_passes(spark, toxic, monkeypatch):
+    docs, labels = toxic
+    whole = rows(toxicity.scores(docs, labels).toPandas())
+    monkeypatch.setattr(toxicity, "FEATURES", 5)
+    assert rows(toxicity.scores(docs, labels).toPandas()) == whole
+    monkeypatch.setattr(kernels, "MEMBERS", 5)
+    assert rows(toxicity.scores(docs, labels).toPandas()) == whole
+
+
+def test_among(spark):
+    some = spark.createDataFrame([(i,) for i in (3, 5, 5, 77, None)], "id int")
+    all_ = spark.createDataFrame([(i, f"t{i}") for i in (*range(7), 5, None)], "id long, text string")
+    want = ["t3", "t5", "t5"]
+    assert sorted(r.text for r in kernels.among(all_, some).collect()) == want
+    texts = kernels.among(all_.withColumn("id", F.col("id").cast("string")), some.withColumn("id", F.col("id").cast("string")))
+    assert sorted(r.text for r in texts.collect()) == want and kernels.among(all_, some.limit(0)).count() == 0
+
+
 # 9 mixing
 
 
