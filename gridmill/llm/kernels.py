@@ -312,13 +312,14 @@ def drop(settled: DataFrame) -> None:
 MEMBERS = 1 << 24  #: ids that a worker holds, of 8 bytes each
 
 
-def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose ``id`` is one of ``ids`` (a settled table).
+def among(rows: DataFrame, ids: DataFrame, work=None, schema: str | None = None) -> DataFrame:
+    """The rows whose ``id`` is one of ``ids`` (a settled table), or what ``work`` makes of their batches, in the same worker.
 
     The rows stay where they are read if ids are whole numbers and at most ``MEMBERS``; else they are joined.
     """
     if not all(isinstance(x.schema["id"].dataType, IntegralType) for x in (rows, ids)) or ids.count() > MEMBERS:
-        return rows.join(ids.select("id"), "id", "left_semi").select(*rows.columns)
+        found = rows.join(ids.select("id"), "id", "left_semi").select(*rows.columns)
+        return found if work is None else found.mapInArrow(work, schema)
     own = ids.select(F.col("id").cast("long")).filter("id IS NOT NULL").toArrow()["id"].to_numpy()
     held, at = rows.sparkSession.sparkContext.broadcast(np.unique(own)), rows.columns.index("id")
 
@@ -330,7 +331,7 @@ def among(rows: DataFrame, ids: DataFrame) -> DataFrame:
             i = np.minimum(np.searchsorted(own, n), len(own) - 1)
             yield batch.filter(pc.and_(x.is_valid(), pa.array(own[i] == n if len(own) else np.zeros(len(n), bool))))
 
-    return rows.mapInArrow(keep, rows.schema)
+    return rows.mapInArrow(keep, rows.schema) if work is None else rows.mapInArrow(lambda batches: work(keep(batches)), schema)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -576,6 +576,33 @@ def test_perplexities_by_brute_force(spark, order):
             assert abs(b - limit) < 2e-4 or got[i].keep == (b <= limit)
 
 
+@pytest.mark.parametrize("order, held", [(1, 1 << 20), (2, 1 << 20), (3, 50), (5, 1 << 20)])
+def test_all_trusted_rows_count(spark, monkeypatch, order, held):
+    monkeypatch.setattr(quality, "_HELD", held)
+    rnd = random.Random(15)
+    texts = [(i, words(rnd, rnd.randint(1, 5), 30 + i // 50), "en" if i < 2300 else "de") for i in range(2340)]
+    df = spark.createDataFrame([*texts, (5000, "alone", "fr")], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, *_ in texts if i % 10] + [(5000, 1)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality.perplexities(df, labels, order=order, quantile=0.9).collect()}
+    assert got[5000].perplexity is None and got[5000].keep
+    for lang in ("en", "de"):
+        own = [(i, t) for i, t, x in texts if x == lang]
+        data, off = kernels.utf8(pa.array([t for _, t in own]))
+        h = dict(zip((i for i, _ in own), map(int, kernels.span_hashes(data, off[:-1], off[1:]))))
+        seen = [h[i] for i, _ in own if i % 10]
+        bit = next(b for b in range(64) if len({x >> b & 1 for x in seen}) == 2)
+        side = {i: x >> bit & 1 for i, x in h.items()}
+        prob = [kneser_ney([t for i, t in own if i % 10 and side[i] == x], order) for x in (1, 0)]  # of the half that a text is not in
+        bits = {}
+        for i, t in own:
+            whole = b"\n" * (order - 1) + t.encode()
+            bits[i] = -sum(math.log2(prob[side[i]](whole[k - order : k])) for k in range(order, len(whole) + 1)) / len(t.encode())
+        limit = np.quantile([round(b, 4) for i, b in bits.items() if i % 10], 0.9)
+        for i, b in bits.items():
+            assert abs(math.log2(got[i].perplexity) - b) < 1e-4 and abs(math.log2(got[i].threshold) - limit) < 2e-4
+            assert abs(b - limit) < 2e-4 or got[i].keep == (b <= limit)
+
+
 def test_model_is_a_distribution(spark):
     rnd = random.Random(12)
     df = spark.createDataFrame([("en", words(rnd, 80, 20)) for _ in range(20)], "lang string, text string")
