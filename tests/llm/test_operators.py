@@ -142,6 +142,34 @@ def test_tree_spares_distances():
     assert tree.spared > 0 and tree.computed < len(x) ** 2 / 5
 
 
+def test_topk_far_from_the_origin(spark):
+    """Products of matrices lose here what sets near rows apart."""
+    rng = np.random.default_rng(5)
+    x = 1e8 + np.repeat(rng.normal(size=(20, 6)) * 50, 20, axis=0) + rng.normal(size=(400, 6))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.rank, r.neighbor) for r in exact_topk.nearest(df, k=5, page_rows=16, max_routers=7).collect())
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    assert got == [(i, r, int(j)) for i in range(400) for r, j in enumerate(np.lexsort((np.arange(400), d[i]))[:5], 1)]
+
+
+def test_topk_sends_rows_to_bundles(spark):
+    """Without structure nearly every query goes to nearly every page, but its row goes once to a bundle of pages."""
+    sc = spark.sparkContext
+
+    def shuffled() -> int:
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        jvm = sc._jvm
+        stages = sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    x = np.random.default_rng(6).normal(size=(1500, 24)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    before = shuffled()
+    assert exact_topk.nearest(df, k=2, page_rows=32).count() == 3000
+    assert shuffled() - before < 60 * 1500  # pages alone are more than 60
+
+
 # 3 LM scoring
 
 
