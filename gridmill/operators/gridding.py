@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,28 +16,83 @@ from gridmill.sources.files import kept
 CELL = ["cx", "cy"]
 
 
-def nearest_neighbour(points: DataFrame, grid: Grid, radius: float = 1000.0, min_sectors: int = 4) -> DataFrame:
+def _nearest(grid: Grid, radius: float, slots: int):
+    """What ``mapInArrow`` needs to cut points down to the nearest of each cell and quadrant, as far as a table of so many slots holds them.
+
+    A cell and quadrant has one slot, which it may share with others. A point goes on only if it beats what the slot
+    has of the same cell and quadrant; what leaves a slot is handed out, and so is all at the end. So no candidate is
+    lost, and memory doesn't grow with the points. Depths are compared as integers in the order of the doubles, null first.
+    """
+    none = np.iinfo(np.int64).min
+    turned = lambda b: np.where(b < 0, b ^ np.iinfo(np.int64).max, b)
+
+    def along(at):
+        """For each place on an axis the cells whose centres may be within reach, a row for each, and the distances; None outside the grid."""
+        first = np.ceil((at - radius - grid.low) / grid.cell - 0.5 - 1e-6).clip(-1e9, 1e9).astype(np.int64)
+        for k in range(int(2 * radius / grid.cell) + 2):
+            c = first + k
+            yield c, at - (c * grid.cell + grid.low + grid.cell / 2), (c >= 0) & (c < grid.cells)
+
+    def first_of(key, d2, z):
+        """Of each key the nearest, of these the least z."""
+        order = np.lexsort((z, d2, key))
+        key = key[order]
+        order = order[np.diff(key, prepend=-1) != 0]
+        return order
+
+    def handed(key, d2, z):
+        cell = key // 4
+        depth = turned(z).view(np.float64)
+        return pa.RecordBatch.from_arrays([pa.array(cell % grid.cells), pa.array(cell // grid.cells), pa.array((key % 4).astype(np.int32)), pa.array(d2), pa.array(depth, mask=z == none)], ["cx", "cy", "s", "d2", "z"])
+
+    def run(batches):
+        keys, nearest, depths = np.full(slots, -1), np.full(slots, np.inf), np.full(slots, none)
+        for batch in batches:
+            x, y = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            z = batch.column(2)
+            depth = z.fill_null(0.0).to_numpy(zero_copy_only=False) + 0.0  # one zero
+            depth = turned(np.where(np.isnan(depth), np.nan, depth).view(np.int64))
+            depth[z.is_null().to_numpy(zero_copy_only=False)] = none
+            rows = list(along(y))
+            found = []
+            for cx, dx, there in along(x):
+                for cy, dy, here in rows:
+                    d2 = dx * dx + dy * dy
+                    i = np.flatnonzero(there & here & (d2 <= radius * radius))
+                    quadrant = np.where(dx[i] >= 0, np.where(dy[i] >= 0, 0, 3), np.where(dy[i] >= 0, 1, 2))
+                    key, d2, zi = (cy[i] * grid.cells + cx[i]) * 4 + quadrant, d2[i], depth[i]
+                    at = key % slots
+                    better = (keys[at] != key) | (d2 < nearest[at]) | ((d2 == nearest[at]) & (zi < depths[at]))
+                    found.append((key[better], d2[better], zi[better]))
+            key, d2, zi = (np.concatenate(c) for c in zip(*found))
+            at = np.unique(key % slots)
+            at = at[keys[at] >= 0]
+            key, d2, zi = np.concatenate([key, keys[at]]), np.concatenate([d2, nearest[at]]), np.concatenate([zi, depths[at]])
+            order = first_of(key, d2, zi)
+            key, d2, zi = key[order], d2[order], zi[order]
+            at, stays = np.unique(key % slots, return_index=True)
+            keys[at], nearest[at], depths[at] = key[stays], d2[stays], zi[stays]
+            leaves = np.ones(len(key), bool)
+            leaves[stays] = False
+            if leaves.any():
+                yield handed(key[leaves], d2[leaves], zi[leaves])
+        at = np.flatnonzero(keys >= 0)
+        yield handed(keys[at], nearest[at], depths[at])
+
+    return run
+
+
+def nearest_neighbour(points: DataFrame, grid: Grid, radius: float = 1000.0, min_sectors: int = 4, slots: int = 1 << 20) -> DataFrame:
     """At each cell centre the weighted mean of the nearest point of each quadrant within the radius.
 
     Weights are ``1 / (1 + (3 d / radius)**2)``; cells with fewer than ``min_sectors`` quadrants have no value. A
-    point goes to the centres in its circle, row by row (a Generate, no join); quadrants keep one point each before
-    they meet.
+    point belongs to the centres in its circle. Each task keeps the nearest of a cell and quadrant before anything is
+    sorted or sent (Spark sorts rows for a minimum of structs), so what is sent grows with cells and tasks, not with
+    points, on areas of up to ``slots / 4`` cells.
     """
-    centre = lambda c: F.col(c) * grid.cell + grid.low + grid.cell / 2
-
-    def near(at, reach):
-        """The cells along an axis whose centres are within reach."""
-        first = F.greatest(F.lit(0), F.ceil((at - reach - grid.low) / F.lit(grid.cell) - 0.5 - 1e-6))
-        last = F.least(F.lit(grid.cells - 1), F.floor((at + reach - grid.low) / F.lit(grid.cell) - 0.5 + 1e-6))
-        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
-
-    p = points.select("x", "y", "z", F.explode(near(F.col("x"), F.lit(float(radius)))).alias("cx")).withColumn("dx", F.col("x") - centre("cx"))
-    half = F.sqrt(F.greatest(F.lit(0.0), radius * radius - F.col("dx") ** 2))
-    p = p.select("x", "y", "z", "cx", "dx", F.explode(near(F.col("y"), half)).alias("cy"))
-    p = p.withColumn("dy", F.col("y") - centre("cy")).withColumn("d2", F.col("dx") ** 2 + F.col("dy") ** 2)
-    p = p.filter(F.col("d2") <= radius * radius)
-    sector = F.when(F.col("dx") >= 0, F.when(F.col("dy") >= 0, 0).otherwise(3)).otherwise(F.when(F.col("dy") >= 0, 1).otherwise(2))
-    best = p.groupBy("cx", "cy", sector.alias("s")).agg(F.min(F.struct("d2", "z")).alias("b"))
+    p = points.filter("x IS NOT NULL AND y IS NOT NULL").select(*(F.col(c).cast("double") for c in "xyz"))
+    near = p.mapInArrow(_nearest(grid, float(radius), slots), "cx long, cy long, s int, d2 double, z double")
+    best = near.groupBy("cx", "cy", "s").agg(F.min(F.struct("d2", "z")).alias("b"))
     w = 1 / (1 + 9 * F.col("b.d2") / (radius * radius))
     out = best.groupBy("cx", "cy").agg(F.count("*").alias("n"), (F.sum(w * F.col("b.z")) / F.sum(w)).alias("v")).filter(F.col("n") >= min_sectors)
     return out.select(F.col("cx").cast("int").alias("cx"), F.col("cy").cast("int").alias("cy"), "v")

@@ -281,3 +281,26 @@ def test_ingest_matches_each_pattern_once(spark):
 def test_newest(spark):
     runs = spark.createDataFrame([(str(k), k) for k in range(12)], "name string, created int")
     assert catalog.newest(runs, 10).filter("keep").count() == 10
+
+
+@pytest.mark.parametrize("slots", [5, 1 << 20])
+def test_nearest_neighbour_sorts_no_candidates(spark, slots):
+    """Points are cut down to the nearest before they are sorted, with ties, gaps and cells that share a slot as by brute force."""
+    grid, r = Grid(low=-2000, high=2000), np.random.default_rng(7)
+    given = [(int(x), int(y), None if k % 50 == 0 else int(z)) for k, (x, y, z) in enumerate(zip(r.integers(-60, 61, 900) * 50, r.integers(-60, 61, 900) * 50, r.integers(-9, 9, 900)))]
+    given += [(None, 0, 1), (0, None, 1), (10**9, 0, 1)]
+    got = gridding.nearest_neighbour(spark.createDataFrame(given, "x long, y long, z long").repartition(2), grid, slots=slots)
+    best = {}
+    for x, y, z in given:
+        for cx, cy in itertools.product(range(8), repeat=2):
+            if x is not None and y is not None and (d2 := (x + 1750 - 500 * cx) ** 2 + (y + 1750 - 500 * cy) ** 2) <= 1e6:
+                key = cx, cy, x >= 500 * cx - 1750, y >= 500 * cy - 1750
+                best[key] = min(best.get(key, (1e9,)), (d2, z is not None, z or 0))
+    want = {}
+    for (cx, cy, *_), (d2, there, z) in best.items():
+        n, s, t = want.get((cx, cy), (0, 0, 0))
+        w = 1 / (1 + 9 * d2 / 1e6)
+        want[cx, cy] = n + 1, s + there * w * z, t + w
+    want = {c: s / t for c, (n, s, t) in want.items() if n == 4}
+    assert {(v.cx, v.cy): round(v.v, 9) for v in got.collect()} == {c: round(v, 9) for c, v in want.items()} and len(want) > 50
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
