@@ -14,11 +14,16 @@ from gridmill.config import Grid
 LOWEST = -9_999
 
 
+def _inside(c: Column, grid: Grid) -> Column:
+    """Whether a place on an axis is in a tile."""
+    steps = (c - grid.low) / F.lit(grid.tile)
+    return ((steps > 0) | (c == grid.low)) & (steps <= grid.tiles)
+
+
 def tile_index(c: Column, grid: Grid) -> Column:
     """The index along one axis; null outside the area."""
     i = F.ceil((c - grid.low) / F.lit(grid.tile)).cast("long") - 1
-    i = F.when(c == grid.low, F.lit(0)).otherwise(i)
-    return F.when((i >= 0) & (i < grid.tiles), i)
+    return F.when(_inside(c, grid), F.greatest(i, F.lit(0)))
 
 
 def with_tile(points: DataFrame, grid: Grid) -> DataFrame:
@@ -36,17 +41,21 @@ def included(points: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def assigned(points: DataFrame, grid: Grid, tiles: DataFrame | None = None) -> DataFrame:
-    """Every point with its tile and ``reason``: null, ``null``, ``outside``, ``no_tile`` (a gap in the given tiles) or ``depth``."""
+    """Every point with its tile and ``reason``: null, ``null``, ``outside``, ``no_tile`` (a gap in the given tiles) or ``depth``.
+
+    The reason is said of the coordinates, not of the tile: a filter on it is pushed down with all it is made of, and
+    made of the tile's number it is too much code for the JVM to compile.
+    """
     p = with_tile(points, grid)
     if tiles is not None:
         known = tiles.select(F.col("ID").cast("int").alias("_id"))
         p = p.join(known, p["tile_id"] == known["_id"], "left")
-        gap = F.col("tile_id").isNotNull() & F.col("_id").isNull()
+        gap = F.col("_id").isNull()
     else:
         gap = F.lit(False)
     reason = (
         F.when(F.col("x").isNull() | F.col("y").isNull() | F.col("z").isNull(), "null")
-        .when(F.col("tile_id").isNull(), "outside")
+        .when(~(_inside(F.col("x"), grid) & _inside(F.col("y"), grid)), "outside")
         .when(gap, "no_tile")
         .when(F.col("z") <= LOWEST, "depth")
     )
@@ -54,7 +63,10 @@ def assigned(points: DataFrame, grid: Grid, tiles: DataFrame | None = None) -> D
 
 
 def tiled(points: DataFrame, grid: Grid, tiles: DataFrame | None = None) -> DataFrame:
-    return assigned(points, grid, tiles).filter("reason IS NULL").drop("reason")
+    if tiles is not None:
+        return assigned(points, grid, tiles).filter("reason IS NULL").drop("reason")
+    here = _inside(F.col("x"), grid) & _inside(F.col("y"), grid) & ~(F.col("z") <= LOWEST)  # as assigned, null is not
+    return with_tile(points.filter(here), grid)
 
 
 def tile_rejects(points: DataFrame, grid: Grid, tiles: DataFrame | None = None) -> DataFrame:

@@ -304,3 +304,17 @@ def test_nearest_neighbour_sorts_no_candidates(spark, slots):
     want = {c: s / t for c, (n, s, t) in want.items() if n == 4}
     assert {(v.cx, v.cy): round(v.v, 9) for v in got.collect()} == {c: round(v, 9) for c, v in want.items()} and len(want) > 50
     assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tile_filters_are_short(spark):
+    """What is pushed down to the scan holds no tile number; edges, gaps and nulls as before."""
+    at = [None, -24001, -24000, -23999, -16000, -15999, 0, 23999, 24000, 24001]
+    p = spark.createDataFrame([(x, y, z) for x in at for y in at for z in (None, -9999, -9998)], "x long, y long, z long")
+    for f in (tiling.tiled, tiling.tile_rejects):
+        plan = f(p.selectExpr("x + 1 AS x", "y", "z"), SMALL)._jdf.queryExecution().optimizedPlan().toString()
+        assert not [r for r in plan.splitlines() if "Filter" in r and "CEIL" in r]
+    tile = {x: None if x is None or not -24000 <= x <= 24000 else max(0, -((-24000 - x) // 8000) - 1) for x in at}
+    want = [(x, y, z, 1 + tile[x] + 6 * tile[y]) for x in at for y in at for z in (None, -9999, -9998) if tile[x] is not None and tile[y] is not None and z == -9998]
+    got = [(r.x, r.y, r.z, r.tile_id) for r in tiling.tiled(p, SMALL).collect()]
+    assert set(got) == set(want) and len(got) == len(want)
+    assert tiling.tile_rejects(p, SMALL).count() == 300 - len(want)
