@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,11 +122,13 @@ class Inputs:
             text = re.sub(rf"\b(FROM|JOIN) {n}\b(?! AS)", rf"\1 {{{n}}} AS {n}", text)
         return self.spark.sql(text, **given) if given else self.spark.sql(text)
 
-    @property
+    @cached_property
     def stats(self) -> DataFrame:
+        """Written once for the query: most read it several times, and each would sort all points again."""
         from gridmill.operators.blocks import cell_stats
+        from gridmill.sources.files import kept
 
-        return cell_stats(self.used, SMALL)
+        return kept(cell_stats(self.used, SMALL))
 
     @property
     def composite(self) -> DataFrame:

@@ -22,3 +22,9 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["product_gap_fill", "product_blend", "product_blend_all", "raster_logic"])
+def test_statistics_once(spark, name):
+    """Points are sorted into cells once, not for each use of the statistics."""
+    assert "l_partkey" not in Q.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
